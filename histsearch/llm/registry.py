@@ -1,8 +1,16 @@
 """The queries of this subpackage, by name, and their oracle SQL."""
 
+from .lines import op9_line_dedup
 from .mixing import op10_hash_threshold_mix
+from .packing import op8_pattern_packing
+from .quality import op7_bradley_terry_quality
+from .simhash import op5_covering_simhash
 
 QUERIES = {
+    "op5_covering_simhash": op5_covering_simhash,
+    "op7_bradley_terry_quality": op7_bradley_terry_quality,
+    "op8_pattern_packing": op8_pattern_packing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
 }
 
