@@ -1,11 +1,70 @@
-"""The corpus pipeline: five stages from documents to packed sequences."""
+"""The corpus pipeline: five stages from documents to packed sequences.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of their input. The stages' edge cases are those of their
+operators. ``run`` applies them in one go; where each stage's rows are written and
+read again, results are the same.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from histsearch.llm.common import read_table
+from histsearch.llm.lines import drop_repeated_lines
+from histsearch.llm.mixing import mix_sources
+from histsearch.llm.packing import pack
+from histsearch.llm.quality import keep_good
+from histsearch.llm.simhash import drop_near_duplicates
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the cut go."""
+    return keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays."""
+    return drop_near_duplicates(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines and sentences go; n_chars follows the text."""
+    cleaned = drop_repeated_lines(docs)
+    if "n_chars" not in docs.columns:
+        return cleaned
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    names = docs.columns
+    marked = [f"_c{i}" for i in range(len(names))]
+    mixed = mix_sources(docs, columns=names, aliases=marked)
+    copied = mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return copied.select(*[F.col(m).alias(n) for m, n in zip(marked, names)])
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences and offsets."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("mix_to_weights", mix_to_weights),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: The stages hash, learn and tokenise in ways that SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -61,9 +61,9 @@ def _digit(level: int):
     return F.shiftright(column, (LEVELS - 1 - level % LEVELS) * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def mix_sources(docs: DataFrame, weights=(3.0, 1.0, 2.0), budget: float = 1.5, epochs: float = 2.0, columns: list[str] | None = None) -> DataFrame:
-    """Rows of *docs* as (doc_id, *columns*, size, source_size, target, copies): how
-    often the mix takes each document, 0 included."""
+def mix_sources(docs: DataFrame, weights=(3.0, 1.0, 2.0), budget: float = 1.5, epochs: float = 2.0, columns: list[str] | None = None, aliases: list[str] | None = None) -> DataFrame:
+    """Rows of *docs* as (doc_id, *columns* under their *aliases*, size, source_size,
+    target, copies): how often the mix takes each document, 0 included."""
     kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(columns or [])]
     placed = docs.select(
         F.col("doc_id"),
@@ -106,7 +106,7 @@ def mix_sources(docs: DataFrame, weights=(3.0, 1.0, 2.0), budget: float = 1.5, e
     out = base.join(bounded(state, n_sources), base["source"].eqNullSafe(F.col("s")))
     return out.select(
         "doc_id",
-        *[F.col(f"_{i}").alias(c) for i, c in enumerate(columns or [])],
+        *[F.col(f"_{i}").alias(c) for i, c in enumerate(aliases or columns or [])],
         "size",
         "source_size",
         "target",
