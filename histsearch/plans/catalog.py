@@ -1,4 +1,501 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries: each operator on a whole test table, with its oracle SQL."""
+
+from __future__ import annotations
+
+import inspect
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import extract
+from ..functions.text import normalize, parse_query, smart_snippet, snippet, tokenize_all
+from ..operators import auto, browse, diagnose, filters, scan, shape
+from ..operators import rank as ranking
+from ..operators.recall import Engine
+from ..sources.model import BASE_MS, DAY_MS, NOW_MS, PARTS, SESSIONS, conform, conversations, documents, events
+from . import oracle as o
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+WORD = "that"
+AFTER, BEFORE = BASE_MS + 2 * DAY_MS, BASE_MS + 5 * DAY_MS
+SID, MID = "c3", "c3-1"
+HITS = ["session_id", "message_id", "role", "time", "part_id", "part_type", "snippet"]
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its oracle."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = inspect.cleandoc(sql)
+        return f
+
+    return put
+
+
+def everywhere(history) -> DataFrame:
+    return history.sessions.withColumn("directory_relevance", F.lit("unknown"))
+
+
+def literal_sql(tail: str, word: str = WORD, **where) -> str:
+    return f"WITH {o.CONV},{o.conv_hits(lambda t: o.contains(t, word), lambda t: o.snippet(t, word), **where)} {tail}"
+
+
+def regex_sql(tail: str, pattern: str) -> str:
+    found = lambda t: f"regexp_matches(substr({t}, 1, 50000), {o.q('(?i)' + pattern)})"
+    before = lambda t: f"regexp_extract(substr({t}, 1, 50000), {o.q('(?is)^(.*?)(?:' + pattern + ')')}, 1)"
+    at = lambda t: f"(CASE WHEN {found(t)} THEN length({before(t)}) + 1 ELSE 0 END)"
+    hits = o.conv_hits(found, lambda t: o.window(t, at(t), 200))
+    return f"WITH {o.CONV},{hits} {tail}"
+
+
+# Literal and pattern search
+
+
+@query(literal_sql(f"SELECT {o.RESULT} FROM h"))
+def literal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = conversations(spark, sf_dir)
+    return scan.literal_scan(h, everywhere(h), WORD).select(*HITS)
+
+
+@query(
+    """SELECT 'event' AS kind, count(*) AS parts, sum(n)::BIGINT AS fields FROM (
+         SELECT (CASE WHEN event_type NOT IN ('error', 'signup') AND instr('event ' || event_type, 'e') > 0 THEN 1 ELSE 0 END) + (CASE WHEN event_type NOT IN ('error', 'signup') AND instr(event_type, 'e') > 0 THEN 1 ELSE 0 END)
+              + (CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) + (CASE WHEN instr(lower(props), 'e') > 0 THEN 1 ELSE 0 END) AS n FROM events) WHERE n > 0"""
+)
+def literal_field_total(spark, sf_dir):
+    h = events(spark, sf_dir)
+    hits = scan.literal_scan(h, everywhere(h), "e").where("part_type = 'tool'")
+    return hits.agg(F.count(F.lit(1)).alias("parts"), F.sum("hit_fields").alias("fields")).select(F.lit("event").alias("kind"), "parts", "fields")
+
+
+@query(literal_sql("SELECT session_id, message_id, part_id, snippet, time FROM h WHERE is_title"))
+def literal_title_hits(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    return scan.literal_scan(h, everywhere(h), WORD).where("is_title").select("session_id", "message_id", "part_id", "snippet", "time")
+
+
+GROUPED = f"""SELECT session_id, hit_count, part_id, snippet, title_match, place FROM (
+  SELECT session_id, part_id, snippet, count(*) OVER w AS hit_count, max(CASE WHEN is_title THEN title END) OVER w AS title_match,
+         dense_rank() OVER (ORDER BY session_ord, session_id) AS place, row_number() OVER (PARTITION BY session_id ORDER BY is_title, time DESC, {o.ORDER}) AS k
+  FROM h WINDOW w AS (PARTITION BY session_id)) WHERE k = 1"""
+
+
+def _grouped(hits: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    grouped = shape.group_by_session(hits, shape.struct_order(scan.in_scan_order()))
+    place = F.dense_rank().over(Window.orderBy("first_place.k0", "first_place.k1"))
+    return grouped.select("session_id", "hit_count", "part_id", "snippet", "title_match", place.cast("long").alias("place"))
+
+
+@query(literal_sql(GROUPED))
+def literal_group_session(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    return _grouped(scan.literal_scan(h, everywhere(h), WORD))
+
+
+@query(literal_sql(f"SELECT session_id, part_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {o.ORDER}) > 2 AS held FROM h) ORDER BY held, {o.ORDER} LIMIT 25"))
+def literal_diversify(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    return shape.top_diverse(scan.literal_scan(h, everywhere(h), WORD), scan.in_scan_order(), 25).select("session_id", "part_id")
+
+
+PATTERN = r"\bth[aeiou]+t?(ing|er)\b"
+
+
+@query(regex_sql(f"SELECT {o.RESULT} FROM h", PATTERN))
+def regex_scan(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    return scan.regex_scan(h, everywhere(h), PATTERN).select(*HITS)
+
+
+@query(regex_sql(GROUPED, PATTERN))
+def regex_group_session(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    return _grouped(scan.regex_scan(h, everywhere(h), PATTERN))
+
+
+@query("SELECT doc_id, " + o.snippet("text", "reth", 120) + " AS snippet FROM documents WHERE " + o.contains("text", "reth"))
+def snippet_literal(spark, sf_dir):
+    rows = documents(spark, sf_dir).rows
+    return rows.where(F.instr(F.lower("text"), "reth") > 0).select(F.expr("cast(substring(message_id, 2) as bigint)").alias("doc_id"), snippet(F.col("text"), "reth", 120).alias("snippet"))
+
+
+# Filters
+
+
+@query(literal_sql(f"SELECT {o.RESULT} FROM h", where="p.role = 'user'", message_where="role = 'user'"))
+def filter_role(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    return scan.literal_scan(h, everywhere(h), WORD, role="user").select(*HITS)
+
+
+@query(literal_sql(f"SELECT {o.RESULT} FROM h", where="p.part_type = 'reasoning'", titles=False))
+def filter_part_type(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    return scan.literal_scan(h, everywhere(h), WORD, kind="reasoning").select(*HITS)
+
+
+@query(literal_sql(f"SELECT {o.RESULT} FROM h", where=f"p.time > {AFTER} AND p.time < {BEFORE}", message_where=f"time > {AFTER} AND time < {BEFORE}"))
+def filter_time_window(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    return scan.literal_scan(h, everywhere(h), WORD, after=AFTER, before=BEFORE).select(*HITS)
+
+
+@query("SELECT 'u' || user_id AS session_id, 'e' || event_id AS message_id, 'purchase' AS tool_name, 'stdout' AS field FROM events WHERE event_type = 'purchase'")
+def filter_tool_name(spark, sf_dir):
+    h = events(spark, sf_dir)
+    hits = scan.literal_scan(h, everywhere(h), "purchase", tool_name="purchase")
+    return hits.select("session_id", "message_id", "tool_name", F.col("matched_fields")[0].alias("field"))
+
+
+TOOL_NAMES = ("recall", "recall_get", "mcp__server__recall", "provider.recall_messages", "x/recall_context", "a-recall_sessions", "myrecall", "recaller", "bash", "recall_", "x_recall")
+
+
+@query("SELECT name, regexp_matches(name, '(^|[._/-])(recall|recall_get|recall_sessions|recall_context|recall_messages)$') AS own FROM (VALUES " + ", ".join(f"('{n}')" for n in TOOL_NAMES) + ") t(name)")
+def filter_self_tool(spark, sf_dir):
+    names = spark.createDataFrame([(n,) for n in TOOL_NAMES], "name string")
+    return names.select("name", extract.is_own_tool(F.col("name")).alias("own"))
+
+
+@query(literal_sql(f"SELECT {o.RESULT} FROM h", sessions="s.directory = '/workspace/p1'"))
+def directory_exact(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    return scan.literal_scan(h, filters.with_buckets(h.sessions, "/workspace//p1/", None, False), WORD).select(*HITS)
+
+
+BUCKET = "CASE WHEN s.directory = '/workspace/p1' THEN 'exact' WHEN s.directory = '/workspace/p2' THEN 'project' ELSE 'global' END"
+
+
+@query(
+    literal_sql(
+        f"""SELECT session_id, part_id, bucket, row_number() OVER (ORDER BY b, time DESC, {o.ORDER}) AS place FROM (
+          SELECT h.*, {BUCKET} AS bucket, CASE {BUCKET} WHEN 'exact' THEN 0 WHEN 'project' THEN 1 ELSE 2 END AS b FROM h JOIN s USING (session_id, session_ord, title, directory))
+          ORDER BY place LIMIT 40"""
+    )
+)
+def directory_fallback_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    h = conversations(spark, sf_dir)
+    hits = scan.literal_scan(h, filters.with_buckets(h.sessions, "/workspace/p1", "/workspace/p2", True), WORD)
+    order = shape.directory_order(scan.in_scan_order())
+    top = hits.orderBy(*order).limit(40)
+    return top.select("session_id", "part_id", F.col("directory_relevance").alias("bucket"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+
+
+@query(f"WITH {o.CONV} SELECT CASE WHEN directory = '/workspace/p1' THEN 'exact' WHEN directory = '/workspace/p2' THEN 'project' ELSE 'global' END AS directory_relevance, count(*) AS n FROM s GROUP BY 1")
+def directory_buckets(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    return diagnose.bucket_counts(filters.with_buckets(h.sessions, "/workspace/p1", "/workspace/p2", True))
+
+
+@query(f"WITH {o.CONV} SELECT session_id, session_ord::INT AS session_ord FROM s WHERE directory = '/workspace/p1' ORDER BY session_ord, session_id LIMIT 7")
+def sessions_cap(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    return filters.first_sessions(filters.with_buckets(h.sessions, "/workspace/p1", None, False), 7).select("session_id", "session_ord")
+
+
+@query(f"WITH {o.CONV} SELECT session_id, project_id, directory, title, time_updated FROM s")
+def dedupe_sessions(spark, sf_dir):
+    s = conversations(spark, sf_dir).sessions
+    return filters.dedupe_sessions(s.unionByName(s.where("project_id = 'p1'"))).select("session_id", "project_id", "directory", "title", "time_updated")
+
+
+# Browsing
+
+
+@query(f"WITH {o.CONV} SELECT session_id, title, directory, time_created, time_updated, archived FROM s WHERE project_id = 'p1' ORDER BY session_ord, session_id LIMIT 20")
+def list_sessions(spark, sf_dir):
+    return browse.list_sessions(conversations(spark, sf_dir), "project", "p1").select("session_id", "title", "directory", "time_created", "time_updated", "archived")
+
+
+@query(f"WITH {o.CONV} SELECT session_id, title, 'project ' || (session_ord % 3) AS project, archived FROM s WHERE instr(lower(title), 'the') > 0 ORDER BY session_ord, session_id LIMIT 20")
+def list_sessions_title(spark, sf_dir):
+    listed = browse.list_sessions(conversations(spark, sf_dir), "global", None, "The")
+    return listed.select("session_id", "title", F.col("project.name").alias("project"), "archived")
+
+
+@query(f"WITH {o.CONV} SELECT message_id, role, time AS time_created, part_id, text AS content, count(*) OVER () AS total FROM p WHERE session_id = '{SID}' ORDER BY msg_ord LIMIT 2 OFFSET 1")
+def messages_page(spark, sf_dir):
+    page = browse.messages_page(conversations(spark, sf_dir), SID, offset=1, limit=2)
+    part = F.col("parts")[0]
+    return page.select("message_id", "role", "time_created", part["id"].alias("part_id"), part["content"].alias("content"), "total")
+
+
+@query(f"WITH {o.CONV} SELECT message_id, msg_ord::INT AS msg_ord FROM p WHERE session_id = '{SID}' AND role = 'user' AND instr(lower(text), 'th') > 0 ORDER BY msg_ord DESC LIMIT 2")
+def messages_reverse_query(spark, sf_dir):
+    return browse.messages_page(conversations(spark, sf_dir), SID, limit=2, role="user", reverse=True, query="TH").select("message_id", "msg_ord")
+
+
+@query(f"WITH {o.CONV} SELECT message_id, role, time AS time_created, 'build' AS agent, 'model' AS model_id, part_type AS type, text AS content, false AS pruned FROM p WHERE message_id = '{MID}'")
+def get_message(spark, sf_dir):
+    part = F.col("parts")[0]
+    found = browse.get_message(conversations(spark, sf_dir), SID, MID)
+    return found.select("message_id", "role", "time_created", "agent", "model_id", part["type"].alias("type"), part["content"].alias("content"), part["pruned"].alias("pruned"))
+
+
+@query(f"WITH {o.CONV} SELECT message_id, role, text AS content FROM p WHERE session_id = '{SID}' AND msg_ord BETWEEN 0 AND 2")
+def context_window(spark, sf_dir):
+    around = browse.context_window(conversations(spark, sf_dir), SID, MID, before=1, after=1)
+    return around.select("message_id", "role", F.col("parts")[0]["content"].alias("content"))
+
+
+@query(f"WITH {o.CONV} SELECT message_id, message_id = '{MID}' AS center, false AS has_more_before, n > 2 AS has_more_after FROM (SELECT *, count(*) OVER () AS n FROM p WHERE session_id = '{SID}') WHERE msg_ord BETWEEN 0 AND 1")
+def context_flags(spark, sf_dir):
+    around = browse.context_window(conversations(spark, sf_dir), SID, MID, before=1, after=0, parts=False)
+    return around.select("message_id", "center", "has_more_before", "has_more_after")
+
+
+# Extraction and text
+
+
+@query(
+    """SELECT 'e' || event_id AS message_id, k::INT AS k, f.field AS field, f.text AS text FROM (SELECT event_id, unnest(range(len(fs))) AS k, unnest(fs) AS f FROM (
+      SELECT event_id, list_filter([
+        CASE WHEN event_type NOT IN ('error', 'signup') THEN {'field': 'stdout', 'text': 'event ' || event_type} END,
+        CASE WHEN event_type NOT IN ('error', 'signup') THEN {'field': 'toolName', 'text': event_type} END,
+        CASE WHEN event_type = 'error' THEN {'field': 'stderr', 'text': 'event failed: ' || event_type} END,
+        CASE WHEN props IS NOT NULL THEN {'field': 'command', 'text': props} END], lambda x: x IS NOT NULL) AS fs FROM events))"""
+)
+def extract_fields(spark, sf_dir):
+    rows = events(spark, sf_dir).rows
+    return rows.select("message_id", F.posexplode(extract.searchable_fields()).alias("k", "f")).select("message_id", "k", "f.field", "f.text")
+
+
+INPUTS = ('{"command":"npm test"}', '{"command":5,"cwd":"/tmp"}', '{"command":"  ","cwd":"/a b"}', '{"path":"cache"}', '{"cwd":"/x","command":"ls -l"}')
+
+
+@query(
+    "SELECT k::INT AS k, i::INT AS i, f.field AS field, f.text AS text FROM (SELECT k, unnest(range(len(fs))) AS i, unnest(fs) AS f FROM (SELECT k, list_filter(["
+    "CASE WHEN json_type(x, '$.command') = 'VARCHAR' AND trim(x ->> '$.command') <> '' THEN {'field': 'command', 'text': x ->> '$.command'} END,"
+    "CASE WHEN json_type(x, '$.cwd') = 'VARCHAR' AND trim(x ->> '$.cwd') <> '' THEN {'field': 'cwd', 'text': x ->> '$.cwd'} END,"
+    "{'field': 'command', 'text': x}], lambda v: v IS NOT NULL) AS fs FROM (VALUES " + ", ".join(f"({k}, {o.q(x)})" for k, x in enumerate(INPUTS)) + ") t(k, x)))"
+)
+def tool_input_fields(spark, sf_dir):
+    rows = spark.createDataFrame([(k, "tool", "bash", "running", x) for k, x in enumerate(INPUTS)], "k int, part_type string, tool string, tool_status string, tool_input string")
+    full = rows.select("k", *[(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in PARTS])
+    return full.select("k", F.posexplode(extract.searchable_fields()).alias("i", "f")).select("k", "i", "f.field", "f.text")
+
+
+@query("SELECT event_type AS tool, count(*) AS parts, sum(CASE WHEN event_type NOT IN ('error', 'signup') AND event_id % 10 = 0 THEN 1 ELSE 0 END)::BIGINT AS pruned FROM events GROUP BY 1")
+def pruned_flag(spark, sf_dir):
+    return events(spark, sf_dir).rows.groupBy("tool").agg(F.count(F.lit(1)).alias("parts"), F.sum(extract.pruned().cast("long")).alias("pruned"))
+
+
+SHOWN = (
+    ("text", None), ("compaction", '{"auto":true}'), ("file", '{"filename":"a.txt"}'), ("file", '{"url":"file://b"}'), ("snapshot", '{"snapshot":"s1"}'), ("patch", '{"files":["a","b"]}'),
+    ("agent", '{"name":"general"}'), ("retry", '{"attempt":2,"error":"busy"}'), ("step-start", None), ("step-finish", '{"reason":"stop"}'), ("other", None),
+)
+
+
+@query(
+    """SELECT * FROM (VALUES (0, 'hello', NULL), (1, '[compaction boundary (auto)]', NULL), (2, '[file] a.txt', NULL), (3, '[file] file://b', NULL), (4, '[snapshot] s1', NULL), (5, '[patch] a, b', NULL),
+    (6, '[agent] general', NULL), (7, '[retry] attempt 2', 'busy'), (8, '[step-start]', NULL), (9, '[step-finish] stop', NULL), (10, '[other]', NULL)) t(k, content, error)"""
+)
+def format_parts(spark, sf_dir):
+    rows = spark.createDataFrame([(k, kind, "hello", attrs) for k, (kind, attrs) in enumerate(SHOWN)], "k int, part_type string, text string, attrs string")
+    full = rows.select("k", *[(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in PARTS])
+    return full.select("k", extract.display().alias("d")).select("k", "d.content", "d.error")
+
+
+@query(f"SELECT t AS token, count(*) AS n FROM (SELECT unnest({o.tokens('text')}) AS t FROM conversations) GROUP BY 1")
+def tokenize_counts(spark, sf_dir):
+    rows = conversations(spark, sf_dir).rows
+    return rows.select(F.explode(tokenize_all(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"SELECT 'c' || conv_id || '-' || turn AS message_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(text, '[_\-/.]', ' ', 'g'), '([a-z])([A-Z])', '\1 \2', 'g')), '\s+', ' ', 'g')) AS normalized FROM conversations")
+def normalize_text(spark, sf_dir):
+    return conversations(spark, sf_dir).rows.select("message_id", normalize(F.col("text")).alias("normalized"))
+
+
+# Ranking
+
+EXACT, PREFIX, TYPO, PHRASE = parse_query("the of and"), parse_query("anti thed"), parse_query("thatni onthe"), parse_query('"of the" ondthe')
+SCORED = "session_id, part_id, part_type, score, array_to_string(matched_terms, ' ') AS matched_terms"
+
+
+def rank_sql(query_, mode: str, tail: str = f"SELECT {SCORED} FROM r", **where) -> str:
+    return f"WITH {o.CONV},{o.ranked(query_, mode, **where)} {tail}"
+
+
+def _ranked(spark, sf_dir, query_, mode="smart", **where):
+    h = conversations(spark, sf_dir)
+    return ranking.rank(h, everywhere(h), query_, mode, NOW_MS, **where)
+
+
+def _scored(hits):
+    return hits.select("session_id", "part_id", "part_type", "score", F.array_join("matched_terms", " ").alias("matched_terms"))
+
+
+@query(rank_sql(EXACT, "smart"))
+def bm25_exact(spark, sf_dir):
+    return _scored(_ranked(spark, sf_dir, EXACT))
+
+
+@query(rank_sql(PREFIX, "smart"))
+def bm25_prefix(spark, sf_dir):
+    return _scored(_ranked(spark, sf_dir, PREFIX))
+
+
+@query(rank_sql(TYPO, "fuzzy"))
+def bm25_fuzzy_ascii(spark, sf_dir):
+    return _scored(_ranked(spark, sf_dir, TYPO, "fuzzy"))
+
+
+@query(rank_sql(PHRASE, "smart", where=f"time > {AFTER}"))
+def bm25_multipliers(spark, sf_dir):
+    return _scored(_ranked(spark, sf_dir, PHRASE, after=AFTER))
+
+
+@query(
+    rank_sql(
+        EXACT,
+        "smart",
+        f"""SELECT session_id, part_id, score, hit_count FROM (SELECT session_id, part_id, score, count(*) OVER (PARTITION BY session_id) AS hit_count,
+            row_number() OVER (PARTITION BY session_id ORDER BY is_title, {o.RANK_ORDER}) AS k FROM r) WHERE k = 1""",
+    )
+)
+def bm25_grouped(spark, sf_dir):
+    hits = _ranked(spark, sf_dir, EXACT)
+    return shape.group_by_session(hits, shape.struct_order(ranking.in_rank_order())).select("session_id", "part_id", "score", "hit_count")
+
+
+@query(rank_sql(EXACT, "smart", f"SELECT session_id, part_id, score FROM r ORDER BY {o.RANK_ORDER} LIMIT 10"))
+def bm25_top(spark, sf_dir):
+    return _ranked(spark, sf_dir, EXACT).orderBy(*ranking.in_rank_order()).limit(10).select("session_id", "part_id", "score")
+
+
+@query(rank_sql(PREFIX, "smart", f"SELECT (SELECT count(*) FROM fs) AS scored, count(*) AS kept, count(*) FILTER (score < {ranking.FLOOR}) AS below FROM r"))
+def noise_floor(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    found = ranking.index_fields(ranking.candidates(h, everywhere(h)))
+    scored = ranking.bm25_scores(found, PREFIX, "smart", ["part_id"]).agg(F.count(F.lit(1)).alias("scored"))
+    kept = ranking.rank(h, everywhere(h), PREFIX, "smart", NOW_MS).agg(F.count(F.lit(1)).alias("kept"), F.count(F.when(F.col("score") < ranking.FLOOR, 1)).alias("below"))
+    return scored.join(F.broadcast(kept), how="cross")  # one row each
+
+
+@query(rank_sql(PREFIX, "smart", "SELECT unnest(matched_terms) AS term, count(*) AS n FROM r GROUP BY 1"))
+def matched_terms(spark, sf_dir):
+    return _ranked(spark, sf_dir, PREFIX).select(F.explode("matched_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(literal_sql(f"SELECT {o.RESULT} FROM h", "erer edin"))
+def smart_fallback_literal(spark, sf_dir):
+    """Where nothing ranks (here a query of marks only), the literal scan answers."""
+    h = conversations(spark, sf_dir)
+    ranked = ranking.rank(h, everywhere(h), parse_query('""'), "smart", NOW_MS)
+    return (scan.literal_scan(h, everywhere(h), "erer edin") if ranked.isEmpty() else ranked).select(*HITS)
+
+
+@query(
+    f"""WITH {o.CONV} SELECT session_id, part_id FROM (SELECT p.*, sum(length(substr(text, 1, 20000))) OVER (ORDER BY s.session_ord, p.session_id, p.msg_ord DESC ROWS UNBOUNDED PRECEDING) AS chars,
+        row_number() OVER (ORDER BY s.session_ord, p.session_id, p.msg_ord DESC) AS k FROM p JOIN s USING (session_id) WHERE text <> '') WHERE k <= {ranking.CANDIDATES} AND chars <= {ranking.CHARS}"""
+)
+def budget_cut(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    return ranking.candidates(h, everywhere(h), budget=True).where(~F.col("is_title")).select("session_id", "part_id")
+
+
+# Diagnostics, hooks, metrics
+
+
+@query(f"WITH {o.CONV} SELECT count(*) AS messages_searched, count(*) FILTER (part_type = 'reasoning') AS parts_searched FROM p WHERE role = 'assistant' AND time > {AFTER}")
+def coverage_counts(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    return diagnose.coverage_counts(h, everywhere(h), kind="reasoning", role="assistant", after=AFTER)
+
+
+@query(f"WITH {o.CONV} SELECT count(*) AS discovered, count(*) FILTER (directory = '/workspace/p1') AS eligible, least(5, count(*) FILTER (directory = '/workspace/p1')) AS searched, count(*) FILTER (directory <> '/workspace/p1') AS skipped_directory FROM s")
+def limit_accounting(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    exact = filters.with_buckets(h.sessions, "/workspace/p1", None, False)
+    counts = h.sessions.agg(F.count(F.lit(1)).alias("discovered"))
+    counts = counts.join(F.broadcast(exact.agg(F.count(F.lit(1)).alias("eligible"))), how="cross")
+    counts = counts.join(F.broadcast(filters.first_sessions(exact, 5).agg(F.count(F.lit(1)).alias("searched"))), how="cross")
+    return counts.select("discovered", "eligible", "searched", (F.col("discovered") - F.col("eligible")).alias("skipped_directory"))
+
+
+@query(f"WITH {o.CONV} SELECT session_id FROM s WHERE session_ord % 4 = 1")
+def load_errors(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    h.messages = h.messages.join(h.sessions.where("session_ord % 4 = 1"), "session_id", "left_anti")
+    return diagnose.load_errors(h, everywhere(h)).select("session_id")
+
+
+@query(f"WITH {o.CONV} SELECT session_id, title, directory FROM s ORDER BY session_ord LIMIT 3")
+def near_misses(spark, sf_dir):
+    return diagnose.near_misses(everywhere(conversations(spark, sf_dir))).select("session_id", "title", "directory")
+
+
+ASKED = (
+    "what did we decide about the token bucket last time?", "Remember the rate-limit fix from before, please", "clean up before committing this", "/recall last time stuff", "recall(query) as before",
+    "last time", "like before: use Postgres for the ledger", "did we ever try redis? did we ever?", "the approach we used for OAuth redirects", "short", "previously 'quoted' text in another session",
+)
+ASKED_VALUES = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, {o.q(t)})" for k, t in enumerate(ASKED)) + ") v(k, text)) t"
+
+
+@query(o.cue_gate(ASKED_VALUES))
+def auto_gate(spark, sf_dir):
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(ASKED)], "k int, text string")
+    return texts.select("k", auto.cue_query(F.col("text")).alias("query")).where("query is not null")
+
+
+CASES = ("the of and", "anti thed", "erer edin", "that with")
+
+
+@query(
+    "WITH "
+    + o.CONV
+    + ", "
+    + ", ".join(
+        f"k{i} AS (WITH {o.ranked(parse_query(c), 'smart').strip()} SELECT session_id, row_number() OVER (ORDER BY s0 DESC, t0 DESC, p0) AS rank FROM (SELECT session_id, max(score) AS s0, arg_min(time, place) AS t0, arg_min(part_id, place) AS p0 "
+        f"FROM (SELECT *, row_number() OVER (ORDER BY {o.RANK_ORDER}) AS place FROM r) GROUP BY session_id))"
+        for i, c in enumerate(CASES)
+    )
+    + ", f AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS case_id, min(rank) AS first FROM k{i} WHERE session_id = 'c{i}'" for i in range(len(CASES)))
+    + ") SELECT round(avg(coalesce(1.0::DOUBLE / first, 0)), 9) AS mrr, round(avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END), 9) AS recall_at_5, count(*) AS cases FROM f"
+)
+def eval_metrics(spark, sf_dir):
+    from pyspark.sql import Window
+
+    h = conversations(spark, sf_dir)
+    ranked = None
+    for i, text in enumerate(CASES):
+        grouped = shape.group_by_session(ranking.rank(h, everywhere(h), parse_query(text), "smart", NOW_MS), shape.struct_order(ranking.in_rank_order()))
+        placed = grouped.select(F.lit(i).alias("case_id"), "session_id", F.row_number().over(Window.orderBy("first_place")).alias("rank"))
+        ranked = placed if ranked is None else ranked.unionByName(placed)
+    cases = spark.createDataFrame([(i, f"c{i}") for i in range(len(CASES))], "case_id int, relevant string")
+    m = diagnose.relevance_metrics(ranked, cases)
+    return m.select(F.round("mrr", 9).alias("mrr"), F.round("recall_at_5", 9).alias("recall_at_5"), "cases")
+
+
+@query(rank_sql(parse_query(auto.DURABLE_QUERY), "smart", f"SELECT part_id, score FROM r WHERE score >= {auto.KEEP_SCORE} ORDER BY {o.RANK_ORDER} LIMIT {auto.KEEP_HITS}"))
+def durable_findings(spark, sf_dir):
+    hits = _ranked(spark, sf_dir, parse_query(auto.DURABLE_QUERY))
+    return hits.where(F.col("score") >= auto.KEEP_SCORE).orderBy(*ranking.in_rank_order()).limit(auto.KEEP_HITS).select("part_id", "score")
+
+
+def _page(spark, sf_dir, **args) -> dict:
+    engine = Engine(conversations(spark, sf_dir), NOW_MS)
+    return engine.recall(**args)
+
+
+@query()
+def smart_snippets(spark, sf_dir):
+    """The page of a ranked search, with snippets made for its few rows."""
+    rows = _page(spark, sf_dir, query="the of and", match="smart", results=20)["results"]
+    return spark.createDataFrame([(r["part_id"], r["score"], r["snippet"]) for r in rows], "part_id string, score double, snippet string")
+
+
+@query()
+def expand_context(spark, sf_dir):
+    out = _page(spark, sf_dir, query=WORD, expand="context", expandResults=3, window=1)
+    rows = [(e["result_index"], e["session_id"], m["message"]["message_id"], m["center"]) for e in out["expanded"] for m in e["messages"]]
+    return spark.createDataFrame(rows, "result_index int, session_id string, message_id string, center boolean")
