@@ -59,6 +59,24 @@ def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+#: A key with so many rows is hot, or with a BROADCAST_ROWS-th of all rows if that is more.
+HOT_ROWS = 1000
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """*rows* with what *table* (written already, one row for each key, *n* rows of each)
+    knows of their key. Hot keys' rows stay where they are: fewer than BROADCAST_ROWS
+    keys can be hot, by their definition, so these are broadcast; the others meet by a
+    shuffle in which no key is large."""
+    total = table.agg(F.sum(n)).first()[0] or 0
+    most = max(HOT_ROWS, -(-total // BROADCAST_ROWS))
+    hot = table.where(F.col(n) > most)
+    if hot.isEmpty():
+        return rows.join(table.drop(n), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(n) <= most).drop(n), key)
+    return rows.join(F.broadcast(hot.drop(n)), key).unionByName(cold)
+
+
 def n_words(text: Column) -> Column:
     """Words of the whole text (null: 0)."""
     blanked = F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, let, materialize, read_table
+from .common import join_by_key, let, materialize, read_table
 
 ANCHORS = 16
 ANCHOR_CHARS = 4
@@ -147,5 +147,35 @@ def likeness(docs: DataFrame) -> DataFrame:
     )
 
 
+def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): doc_id and class_id of every document, classes being equal
+    fingerprints; and (a, b, likeness) of the classes at or above *threshold*.
+
+    A set of n signatures can only be that like one of threshold * n or more, so lengths
+    are dealt into ranges in that ratio and a set meets its own range and the next.
+    Two such sets share one of the n - threshold * n + 1 rarest signatures of each, so
+    only these are joined; what common signatures would bring together never meets.
+    """
+    rows = materialize(docs.select("doc_id", signatures(F.col("text"), choose_anchors(docs)).alias("signs")), "spot-rows")
+    rows = rows.withColumn("key", F.xxhash64("signs"))
+    classes = materialize(rows.groupBy("key", "signs").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_rows")), "spot-classes")
+    members = join_by_key(rows.select("doc_id", "key"), classes.select("key", "class_id", "n_rows"), "key", "n_rows").select("doc_id", "class_id")
+
+    flat = classes.select("key", F.size("signs").alias("n"), F.explode("signs").alias("sign"))
+    rarity = materialize(flat.groupBy("sign").agg(F.count(F.lit(1)).alias("df")), "spot-rarity")
+    order = Window.partitionBy("key").orderBy("df", "sign")
+    kept = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
+    rare = join_by_key(flat, rarity.withColumn("_n", F.col("df")), "sign", "_n").withColumn("place", F.row_number().over(order)).where(F.col("place") <= kept)
+    span = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)))
+    rare = materialize(rare.select("key", "n", "sign", span.alias("span")), "spot-rare")
+    larger = rare.select(F.col("key").alias("k2"), F.col("n").alias("n2"), "sign", "span")
+    smaller = rare.select(F.col("key").alias("k1"), F.col("n").alias("n1"), "sign", F.explode(F.array(F.col("span"), F.col("span") + 1)).alias("span"))
+    fits = (F.col("n1") >= F.lit(threshold) * F.col("n2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("k1") < F.col("k2"))))
+    meet = smaller.join(larger, ["sign", "span"]).where(fits).select("k1", "k2").distinct()
+    one, two = (classes.select(F.col("key").alias(k), F.col("signs").alias(g), F.col("class_id").alias(c)) for k, g, c in (("k1", "g1", "c1"), ("k2", "g2", "c2")))
+    compared = meet.join(one, "k1").join(two, "k2").withColumn("likeness", jaccard(F.col("g1"), F.col("g2"))).where(F.col("likeness") >= threshold)
+    return members, compared.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"), "likeness")
+
+
 def op3_spotsigs(spark, sf_dir):
     return likeness(read_table(spark, sf_dir, "documents"))
