@@ -118,7 +118,7 @@ def within_budget(parts: DataFrame) -> DataFrame:
 
 
 def index_fields(found: DataFrame) -> DataFrame:
-    """*found* with the tokens of its four index fields, and their pool."""
+    """*found* with the tokens of its four index fields."""
     fields = {
         "primary": F.when(F.col("is_title"), F.array().cast("array<string>")).otherwise(tokenize_all(F.col("raw"))),
         "secondary": tokenize_all(F.col("directory")),
@@ -128,12 +128,23 @@ def index_fields(found: DataFrame) -> DataFrame:
     return found.withColumns({f"t_{name}": tokens for name, tokens in fields.items()})
 
 
-def bm25_scores(indexed: DataFrame, query: Query, mode: str, key: list[str]) -> DataFrame:
-    """(*key*, raw_score) of the candidates that answer some query token."""
+def field_means(indexed: DataFrame) -> DataFrame:
+    """One row: the number of candidates and the mean length of each field."""
+    return indexed.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.size(f"t_{f}")).alias(f) for f in FIELD_BOOST])
+
+
+def with_answers(indexed: DataFrame, query: Query, mode: str) -> DataFrame:
+    """The candidates that answer some query token; ``answers`` has the fields, their
+    lengths and the tokens that do."""
     some = lambda t: reduce(lambda a, b: a | b, [term_matches(t, q, mode) for q in query.tokens])
-    stats = indexed.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.size(f"t_{f}")).alias(f) for f in FIELD_BOOST])
-    hits = F.array(*[F.struct(F.lit(f).alias("field"), F.size(f"t_{f}").alias("len"), F.filter(f"t_{f}", some).alias("terms")) for f in FIELD_BOOST])
-    flat = indexed.select(*key, F.explode(hits).alias("h")).select(*key, "h.field", "h.len", F.explode("h.terms").alias("term"))
+    found = [F.struct(F.lit(f).alias("field"), F.size(f"t_{f}").alias("len"), F.filter(f"t_{f}", some).alias("terms")) for f in FIELD_BOOST]
+    answers = F.filter(F.array(*found), lambda x: F.size(x["terms"]) > 0)
+    return indexed.withColumn("answers", answers).where(F.size("answers") > 0)
+
+
+def bm25_scores(answering: DataFrame, means: DataFrame, query: Query, mode: str, key: list[str]) -> DataFrame:
+    """(*key*, raw_score); only the tokens that answer the query are exploded and counted."""
+    flat = answering.select(*key, F.explode("answers").alias("a")).select(*key, "a.field", "a.len", F.explode("a.terms").alias("term"))
     counts = flat.groupBy(*key, "field", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequency = counts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     boost, mean = F.lit(None), F.lit(None)
@@ -143,8 +154,8 @@ def bm25_scores(indexed: DataFrame, query: Query, mode: str, key: list[str]) ->
     weight = sum((F.coalesce(term_weight(F.col("term"), q, mode), F.lit(0.0)) for q in query.tokens), F.lit(0.0))
     idf = F.log((F.col("n") + 1) / F.col("df"))
     shape = F.lit(DELTA) + (K1 + 1) * F.col("tf") / (F.lit(K1) * (F.lit(1 - B) + B * F.col("len") / mean) + F.col("tf"))
-    # One row of averages, and a row for each distinct term that answers the query.
-    scored = counts.join(frequency, ["field", "term"]).join(F.broadcast(stats), how="cross")
+    # A row for each distinct term that answers the query, and one row of means.
+    scored = counts.join(frequency, ["field", "term"]).join(F.broadcast(means), how="cross")
     return scored.groupBy(*key).agg(F.round(F.sum(boost * weight * idf * shape), DIGITS).alias("raw_score"))
 
 
@@ -174,13 +185,16 @@ def rank(history: History, targets: DataFrame, query: Query, mode: str = "smart"
     if not query.tokens:
         return _as_hits(found.where(F.lit(False)).select("*", *empty, F.array().cast("array<string>").alias("match_reasons")))
     indexed = index_fields(found)
+    answering = with_answers(indexed, query, mode)
     key = ["session_id", "message_id", "part_id"]
-    scores = bm25_scores(indexed, query, mode, key)
+    scores = bm25_scores(answering, field_means(indexed), query, mode, key)
     top = scores.agg(F.max("raw_score").alias("top"), F.count(F.lit(1)).alias("hits"))
+    # Token arrays end here: what meets the scores is the answering rows' own columns.
     pool = F.array_distinct(F.concat(F.when(F.col("is_title"), tokenize(F.col("raw"))).otherwise(F.col("t_primary")), "t_secondary", "t_title", "t_hint"))
-    joined = indexed.join(scores, key).join(F.broadcast(top), how="cross")  # one row
-    judged = joined.withColumn("base", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("raw_score") / F.col("top"))), DIGITS))
-    judged = judged.withColumn("matched_terms", matched_terms(pool, query, mode)).withColumn("matched_fields", matched_fields(F.col("fields"), query, mode))
+    light = answering.withColumn("matched_terms", matched_terms(pool, query, mode)).withColumn("matched_fields", matched_fields(F.col("fields"), query, mode))
+    light = light.drop("fields", "answers", *[f"t_{f}" for f in FIELD_BOOST])
+    judged = light.join(scores, key).join(F.broadcast(top), how="cross")  # one row
+    judged = judged.withColumn("base", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("raw_score") / F.col("top"))), DIGITS))
     factors = multipliers(query, now_ms)
     product = reduce(lambda a, b: a * b, [f for _, f in factors])
     score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("base") * product)), DIGITS)

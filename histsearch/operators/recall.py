@@ -62,7 +62,7 @@ class Engine:
         """The sessions to search, in buckets, and the account of them."""
         if o.scope == "global" and not o.session_id and not self.global_allowed:
             raise ArgumentError("Global scope disabled via plugin option: global: false")
-        found = self.discovered(o).cache()
+        found = self.discovered(o)
         n_found = found.count()
         kept = filters.with_buckets(found, o.directory, self.worktree, o.fallback)
         skipped: dict[str, int] = {}
@@ -112,16 +112,20 @@ class Engine:
         """(results, total): the first groups or hits, and how many there are."""
         order = in_rank_order() if ranked else scan.in_scan_order()
         by_directory = bool(o.directory and o.fallback)
-        if o.group == "session":
-            grouped = group_by_session(hits, struct_order(order))
-            place = [F.col("first_place")]
-            final = grouped.orderBy(*(directory_order(place) if by_directory else place)).limit(o.results)
-            total = grouped.count()
-        else:
-            total = hits.agg(F.coalesce(F.sum("hit_fields"), F.lit(0))).first()[0]
-            final = top_diverse(hits, order, o.results, by_directory)
-        final = final.withColumn("recency", recency(F.col("time"), self.now_ms))
-        return [r.asDict(recursive=True) for r in final.collect()], total
+        hits = hits.persist()  # hits only: counts and the page come from one scan
+        try:
+            if o.group == "session":
+                grouped = group_by_session(hits, struct_order(order))
+                place = [F.col("first_place")]
+                final = grouped.orderBy(*(directory_order(place) if by_directory else place)).limit(o.results)
+                total = grouped.count()
+            else:
+                total = hits.agg(F.coalesce(F.sum("hit_fields"), F.lit(0))).first()[0]
+                final = top_diverse(hits, order, o.results, by_directory)
+            final = final.withColumn("recency", recency(F.col("time"), self.now_ms))
+            return [r.asDict(recursive=True) for r in final.collect()], total
+        finally:
+            hits.unpersist()
 
     def _shown(self, o: SearchOptions, row: dict, match: str, reported: str | None) -> dict:
         out = {k: row[k] for k in ("session_id", "session_title", "directory", "message_id", "role", "time", "part_id", "part_type", "pruned", "snippet", "source", "directory_relevance")}
@@ -146,7 +150,6 @@ class Engine:
         if o.match == "regex":
             scan.check_pattern(self.history.sessions.sparkSession, o.query)
         targets, account = self.targets(o)
-        targets = targets.cache()
         where = {"kind": o.type, "role": o.role, "tool_name": o.tool_name, "after": o.after, "before": o.before}
         counts = diagnose.coverage_counts(self.history, targets, **where).first()
         failed = diagnose.load_errors(self.history, targets)

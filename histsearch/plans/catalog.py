@@ -374,8 +374,8 @@ def bm25_top(spark, sf_dir):
 @query(rank_sql(PREFIX, "smart", f"SELECT (SELECT count(*) FROM fs) AS scored, count(*) AS kept, count(*) FILTER (score < {ranking.FLOOR}) AS below FROM r"))
 def noise_floor(spark, sf_dir):
     h = conversations(spark, sf_dir)
-    found = ranking.index_fields(ranking.candidates(h, everywhere(h)))
-    scored = ranking.bm25_scores(found, PREFIX, "smart", ["part_id"]).agg(F.count(F.lit(1)).alias("scored"))
+    found = ranking.with_answers(ranking.index_fields(ranking.candidates(h, everywhere(h))), PREFIX, "smart")
+    scored = found.agg(F.count(F.lit(1)).alias("scored"))
     kept = ranking.rank(h, everywhere(h), PREFIX, "smart", NOW_MS).agg(F.count(F.lit(1)).alias("kept"), F.count(F.when(F.col("score") < ranking.FLOOR, 1)).alias("below"))
     return scored.join(F.broadcast(kept), how="cross")  # one row each
 

@@ -56,7 +56,7 @@ def tool(name="bash", status="completed", given=None, output=None, title=None, e
 
 def base() -> Builder:
     b = Builder()
-    b.session("s-other", "Actualyze Walkthrough", OTHER, 500, "project-other")
+    b.session("s-other", "Harborview Walkthrough", OTHER, 500, "project-other")
     b.session("s-current", "Current Debugging Session", PROJECT, 1000)
     b.session("s-project-2", "Checkout Cache Investigation", PROJECT, 2000, archived=NOW - 500)
     b.message("s-current", "m-current-1", "user", 90000, text("Original requirement: implement rate-limit middleware for checkout. C++ parser support matters."))
@@ -68,8 +68,8 @@ def base() -> Builder:
     b.message("s-project-2", "m-project-1", "user", 85000, text("Please debug rateLimit cache behavior in checkout."))
     b.message("s-project-2", "m-project-2", "assistant", 30000, tool(status="error", given={"path": "cache"}, error="permission denied when reading checkout cache"))
     b.message("s-project-2", "m-project-3", "assistant", 20000, tool(status="pending", given={"query": "pending migration"}))
-    b.message("s-other", "m-other-1", "user", 75000, text("Plan walkthrough pages for demo.actualyze.ai."))
-    b.message("s-other", "m-other-2", "assistant", 65000, text("Use website content pages for the Actualyze walkthrough."))
+    b.message("s-other", "m-other-1", "user", 75000, text("Plan walkthrough pages for demo.harborview.test."))
+    b.message("s-other", "m-other-2", "assistant", 65000, text("Use website content pages for the Harborview walkthrough."))
     return b
 
 

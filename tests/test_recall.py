@@ -60,7 +60,7 @@ def test_expansion(engine):
     assert [m["message"]["message_id"] for m in one["messages"]] == ["m-current-2", "m-current-3", "m-current-4"]
     assert [m["center"] for m in one["messages"]] == [False, True, False] and one["has_more_before"] and one["has_more_after"]
     assert one["messages"][2]["parts"][0]["content"] == "[recall output omitted]" and one["messages"][2]["parts"][0]["output"] is None
-    out = engine.recall(query="actualyze walkthrough", expand="message")
+    out = engine.recall(query="harborview walkthrough", expand="message")
     assert out["expanded"][0]["message"]["parts"][0]["content"].startswith("Use website")
 
 
@@ -166,7 +166,7 @@ def test_browse(engine):
     assert got["parts"][0]["pruned"] and got["parts"][0]["title"] == "Run test suite"
     listed = engine.sessions()
     assert [s["session_id"] for s in listed["sessions"]] == ["s-current", "s-project-2"] and listed["sessions"][1]["archived"]
-    assert engine.sessions("global", "actualyze")["sessions"][0]["project"]["worktree"] == fx.OTHER
+    assert engine.sessions("global", "harborview")["sessions"][0]["project"]["worktree"] == fx.OTHER
 
 
 def test_storage_round_trip(spark, tmp_path):
