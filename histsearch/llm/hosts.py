@@ -87,7 +87,7 @@ def rules() -> dict[str, Column]:
         "repeats": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n,
         "symbols": 10 * F.col("n_symbols") > n,
         "word_length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n),
-        "dup_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+        "dup_lines": (F.col("n_dup_lines") > 2) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
     }
 
 
@@ -182,7 +182,7 @@ r AS (
   SELECT *, n_lines - n_own AS n_dup_lines,
          n_words < {MIN_WORDS} AS few_words, 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS repeats,
          10 * n_symbols > n_words AS symbols, word_chars < 2 * n_words OR word_chars > 15 * n_words AS word_length,
-         10 * (n_lines - n_own) > 3 * n_lines AS dup_lines
+         n_lines - n_own > 2 AND 10 * (n_lines - n_own) > 3 * n_lines AS dup_lines
   FROM m),
 l AS (UNPIVOT (SELECT k, host, few_words::INT AS few_words, repeats::INT AS repeats, symbols::INT AS symbols,
                       word_length::INT AS word_length, dup_lines::INT AS dup_lines FROM r)
