@@ -2,8 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of their input. The stages' edge cases are those of their
-operators. ``run`` applies them in one go; where each stage's rows are written and
-read again, results are the same.
+operators.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histsearch.llm.common import read_table
+from histsearch.llm.common import materialize, read_table
 from histsearch.llm.lines import drop_repeated_lines
 from histsearch.llm.mixing import mix_sources
 from histsearch.llm.packing import pack
@@ -64,7 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each one's rows are written once and read by the next, so that no
+    stage runs again for the jobs of those after it."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
