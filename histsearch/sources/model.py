@@ -97,7 +97,17 @@ def save(history: History, path: str, fmt: str = "parquet") -> None:
         df.write.mode("overwrite").format(kind).save(f"{path}/{name}.{fmt}")
 
 
-# Adapters: the test tables as histories.
+# Adapters: the test tables as histories. Their schemas are fixed, so no job infers them.
+
+TABLES = {
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _ready(df: DataFrame, **columns) -> DataFrame:
@@ -112,7 +122,7 @@ def _split(ready: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def conversations(spark: SparkSession, sf_dir: str) -> History:
     """One session for each conversation, one message with one part for each turn."""
-    raw = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    raw = _table(spark, sf_dir, "conversations")
     conv, turn = F.col("conv_id"), F.col("turn")
     sid = F.concat(F.lit("c"), conv.cast("string"))
     mid = F.concat(sid, F.lit("-"), turn.cast("string"))
@@ -145,7 +155,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> History:
 
 def events(spark: SparkSession, sf_dir: str) -> History:
     """One session for each user, one tool part for each event."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    raw = _table(spark, sf_dir, "events")
     event, user = F.col("event_id"), F.col("user_id")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     sid, mid = F.concat(F.lit("u"), user.cast("string")), F.concat(F.lit("e"), event.cast("string"))
@@ -169,7 +179,7 @@ def events(spark: SparkSession, sf_dir: str) -> History:
 
 def documents(spark: SparkSession, sf_dir: str) -> History:
     """One session for each source, one message with a text part for each document."""
-    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    raw = _table(spark, sf_dir, "documents")
     doc = F.col("doc_id")
     mid = F.concat(F.lit("d"), doc.cast("string"))
     source = F.coalesce("source", F.lit("none"))
