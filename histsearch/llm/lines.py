@@ -16,27 +16,31 @@ read whole; an empty table gives no rows; other columns are passed on by
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
+
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, read_table
+from .common import join_by_key, materialize, read_table
 
 UNIT_WORDS = 4
 MIN_WORDS = 5
-BORDER = regex.compile(r"(?<=\n)|(?<=[.!?…][ \t])(?=\S)|(?<=[ \t])(?=\p{Lu})")
+CAPITALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Lu")
+BORDER = re.compile(r"\n|[.!?…][ \t]+(?=\S)|[ \t](?=[%s])" % re.escape(CAPITALS))
 
 
 def units(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of the units, which together are the whole text."""
     out, start, words, upto = [], 0, [], 0
-    for at in [m.start() for m in BORDER.finditer(text)] + [len(text)]:
+    for at in [m.end() for m in BORDER.finditer(text)] + [len(text)]:
         words += text[upto:at].split()
         upto = at
-        if at > start and (at == len(text) or text[at - 1] == "\n" or len(words) >= UNIT_WORDS):
+        if at > start and (len(words) >= UNIT_WORDS or at == len(text) or text[at - 1] == "\n"):
             out.append((start, at, words))
             start, words = at, []
     return out
@@ -48,42 +52,45 @@ def digest(words: list[str]) -> bytes:
     return xxhash.xxh128_digest(" ".join(words).lower().encode("utf-8"))
 
 
+#: So many texts are cut into units at a time, which bounds a worker's memory.
+SLICE = 256
+
+
 def unit_digests(batches):
-    for batch in batches:
-        row, index, digests = [], [], []
+    """A row for each unit that has words, numbered within its text."""
+    for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
+        row, index, starts, ends, sizes, digests = [], [], [], [], [], []
         for at, text in enumerate(batch.column(2)):
-            for k, (_, _, words) in enumerate(units(text.as_py() or "")):
-                if words:
-                    row.append(at)
-                    index.append(k)
-                    digests.append(digest(words))
+            found = [u for u in units(text.as_py() or "") if u[2]]
+            row += [at] * len(found)
+            index += range(len(found))
+            for start, end, words in found:
+                starts.append(start)
+                ends.append(end)
+                sizes.append(len(words))
+                digests.append(digest(words))
         if row:
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(index, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "hash", "unit", "digest"])
-
+            numbers = [pa.array(x, pa.int32()) for x in (index, starts, ends, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *numbers, pa.array(digests, pa.binary())], names=["doc_id", "hash", "unit", "start", "end", "size", "digest"])
 
-def kept_spans(text: str, repeated: set[int]) -> list[tuple[int, int]]:
-    """Spans of *text* that stay, given which units occurred earlier."""
-    spans: list[list[int]] = []
 
-    def keep(start, end):
-        if spans and spans[-1][1] == start:
-            spans[-1][1] = end
+def kept_spans(length: int, repeated: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Spans of a text of *length* that stay, given (unit, start, end, words) of the
+    units that occurred earlier: runs of neighbours with MIN_WORDS words or more go."""
+    runs: list[list[int]] = []
+    for unit, start, end, n in sorted(repeated):
+        if runs and runs[-1][0] == unit - 1:
+            runs[-1] = [unit, runs[-1][1], end, runs[-1][3] + n]
         else:
-            spans.append([start, end])
-
-    run: list[tuple[int, int, int]] = []
-    for k, (start, end, words) in enumerate([*units(text), (len(text), len(text), ["end"])]):
-        if k in repeated or (run and not words):
-            run.append((start, end, len(words)))
-            continue
-        if sum(n for _, _, n in run) < MIN_WORDS:
-            for s, e, _ in run:
-                keep(s, e)
-        run = []
-        if end > start:
-            keep(start, end)
-    return [(s, e) for s, e in spans]
+            runs.append([unit, start, end, n])
+    spans, at = [], 0
+    for _, start, end, n in runs:
+        if n >= MIN_WORDS:
+            if start > at:
+                spans.append((at, start))
+            at = end
+    return spans + [(at, length)] if at < length else spans
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -97,7 +104,7 @@ def clean(texts: pd.Series, repeated: pd.Series) -> pd.DataFrame:
         if again is None or text is None:
             spans = [(0, len(text))] if text else []
         else:
-            spans = kept_spans(text, set(again.tolist()))
+            spans = kept_spans(len(text), [(u["unit"], u["start"], u["end"], u["size"]) for u in again])
             text = "".join(text[s:e] for s, e in spans)
         rows.append((text, [{"start": s, "end": e} for s, e in spans]))
     return pd.DataFrame(rows, columns=["text", "kept"])
@@ -105,13 +112,14 @@ def clean(texts: pd.Series, repeated: pd.Series) -> pd.DataFrame:
 
 def repeated_units(docs: DataFrame) -> DataFrame:
     """(doc_id, hash, units): for each document the units that occurred earlier."""
-    id_type = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("hash", T.LongType()), T.StructField("unit", T.IntegerType()), T.StructField("digest", T.BinaryType())])
+    int_, id_type = T.IntegerType(), docs.schema["doc_id"].dataType
+    kinds = {"doc_id": id_type, "hash": T.LongType(), "unit": int_, "start": int_, "end": int_, "size": int_, "digest": T.BinaryType()}
+    schema = T.StructType([T.StructField(n, k) for n, k in kinds.items()])
     found = materialize(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(unit_digests, schema), "lines-units")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "unit")
-    first = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", "first")
-    later = found.join(first, "digest").where(~F.col("first").eqNullSafe(place))
-    return later.groupBy("doc_id", "hash").agg(F.collect_set("unit").alias("units"))
+    first = materialize(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1"), "lines-first")
+    later = join_by_key(found, first, "digest", "n").where(~F.col("first").eqNullSafe(place))
+    return later.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("unit", "start", "end", "size")).alias("units"))
 
 
 def drop_repeated_lines(docs: DataFrame, details: bool = False) -> DataFrame:

@@ -394,14 +394,13 @@ def test_line_dedup(docs, none):
         if text is None:
             assert r["text"] is None and r["kept"] == []
             continue
-        repeated = set()
-        for k, (_, _, words_) in enumerate(lines.units(text)):
-            if words_:
-                d = " ".join(words_).lower()
-                if d in seen:
-                    repeated.add(k)
-                seen.add(d)
-        spans = lines.kept_spans(text, repeated)
+        repeated = []
+        for k, (start, end, words_) in enumerate(u for u in lines.units(text) if u[2]):
+            d = " ".join(words_).lower()
+            if d in seen:
+                repeated.append((k, start, end, len(words_)))
+            seen.add(d)
+        spans = lines.kept_spans(len(text), repeated)
         assert [(s["start"], s["end"]) for s in r["kept"]] == spans and r["text"] == "".join(text[a:b] for a, b in spans) and r["n_repeated"] == len(repeated)
     assert lines.drop_repeated_lines(none).collect() == []
 
@@ -413,8 +412,8 @@ def test_units_and_planted_passage():
     for text in (a, b, "x\n\ny", ""):
         assert "".join(text[s:e] for s, e, _ in lines.units(text)) == text
     first = {" ".join(w).lower() for _, _, w in lines.units(a)}
-    again = {k for k, (_, _, w) in enumerate(lines.units(b)) if " ".join(w).lower() in first}
-    left = "".join(b[s:e] for s, e in lines.kept_spans(b, again))
+    again = [(k, s, e, len(w)) for k, (s, e, w) in enumerate(lines.units(b)) if " ".join(w).lower() in first]
+    left = "".join(b[s:e] for s, e in lines.kept_spans(len(b), again))
     assert len(left.split()) <= 25 + 12
 
 
