@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, read_table
+from .common import join_by_key, materialize, read_table
 
 SEED = 42
 RADIUS = 3
@@ -157,15 +157,15 @@ def star_components(edges: DataFrame) -> DataFrame:
 def cluster(rows: DataFrame) -> DataFrame:
     """*rows* (written already; columns doc_id, fp and others) with the columns root
     (least fingerprint of the component, by its signed value) and component_id."""
-    vertices = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-vertices")
+    vertices = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows")), "simhash-vertices")
     stars = star_components(links(vertices.select("fp")))
     members = stars.select(F.col("u").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
-    named = members.join(vertices, "fp").groupBy("root").agg(F.min("first_id").alias("least_id"))
+    named = members.join(vertices.drop("n_rows"), "fp").groupBy("root").agg(F.min("first_id").alias("least_id"))
     labels = members.join(named, "root").select("fp", "root", "least_id")
     labelled = vertices.join(labels, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id")
+        "fp", "n_rows", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id")
     )
-    return rows.join(labelled, "fp")
+    return join_by_key(rows, materialize(labelled, "simhash-labelled"), "fp", "n_rows")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
