@@ -15,7 +15,7 @@ from histsearch.llm.lines import drop_repeated_lines
 from histsearch.llm.mixing import mix_sources
 from histsearch.llm.packing import pack
 from histsearch.llm.quality import keep_good
-from histsearch.llm.simhash import drop_near_duplicates
+from histsearch.llm.shingles import drop_similar
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    return drop_near_duplicates(docs)
+    """One document of each component stays; links are texts whose sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more (op5's own contract differs)."""
+    return drop_similar(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
