@@ -3,8 +3,9 @@
 Anchors are common short words: of each language the ANCHORS most frequent words of at
 most ANCHOR_CHARS letters, counted over all documents. A signature is an anchor
 with the CHAIN content words (words that are no anchors) that follow it; each of
-the first HEAD words starts one more, so that short texts and such without anchors
-have some too. A fingerprint is the sorted set of 31-bit hashes of the signatures, as hexadecimal digits.
+the first HEAD words starts one more, so that short texts have some too, and so does
+each word that lies GAP words or more behind the last anchor with a chain, so that texts or
+stretches without anchors are seen whole. A fingerprint is the sorted set of 31-bit hashes of the signatures, as hexadecimal digits.
 Two fingerprints are compared by Jaccard similarity.
 
 ``near_duplicates`` joins fingerprints: equal sets meet first, sets are dealt into ranges
@@ -27,10 +28,11 @@ from .common import join_by_key, let, materialize, read_table
 
 ANCHORS = 16
 ANCHOR_CHARS = 4
-LANGUAGES = 64
 CHAIN = 2
 #: So many words at a text's head start a signature each.
 HEAD = 16
+#: From so many words behind an anchor on, every word starts one.
+GAP = 16
 #: Rows of a range of ids in which neighbours are found, and the most ranges.
 RANGE_ROWS = 1000
 RANGES = 4096
@@ -41,15 +43,13 @@ def tokens(text: Column) -> Column:
 
 
 def choose_anchors(docs: DataFrame, per_language: int = ANCHORS) -> list[str]:
-    """The anchors: at most LANGUAGES * per_language words, for the LANGUAGES with the most words."""
+    """The anchors: at most per_language words of every language."""
     short = F.filter(tokens(F.col("text")), lambda w: F.length(w) <= ANCHOR_CHARS)
     counts = docs.select("lang", F.explode(short).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "spot-words")
-    largest = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    named = top.join(F.broadcast(largest.select(F.col("lang").alias("known"))), F.col("lang").eqNullSafe(F.col("known")))
-    return sorted({r[0] for r in named.select("word").collect()})
+    return sorted(r[0] for r in top.select("word").distinct().collect())
 
 
 def signatures(text: Column, anchors: list[str]) -> Column:
@@ -63,12 +63,20 @@ def signatures(text: Column, anchors: list[str]) -> Column:
         def signature(i: Column, j: Column) -> Column:
             return F.xxhash64(F.get(w, i), *[F.get(content, i - j + k) for k in range(CHAIN)]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
-        whole = F.filter(F.transform(places, lambda i, j: F.when(i - j + CHAIN <= F.size(content), signature(i, j))), lambda x: x.isNotNull())
         def opening(k: Column) -> Column:
             return F.xxhash64(F.lit(""), *[F.get(w, k + n) for n in range(CHAIN + 1)]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
-        head = F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.least(F.size(w), F.lit(HEAD)) - 1), opening)).otherwise(F.array().cast("array<int>"))
-        return F.array_sort(F.array_distinct(F.concat(head, whole)))
+        def stretch(start: Column, end: Column) -> Column:
+            return F.when(start < end, F.transform(F.sequence(start, end - 1), opening)).otherwise(F.array().cast("array<int>"))
+
+        size = F.size(w)
+        chained = F.filter(places, lambda i, j: i - j + CHAIN <= F.size(content))
+        head = stretch(F.lit(0), F.least(size, F.lit(HEAD)))
+        # Places with a chain come first, so their numbers among all places hold.
+        whole = F.transform(chained, signature)
+        starts = F.concat(F.array(F.lit(HEAD)), F.transform(chained, lambda i: i + GAP))
+        gaps = F.flatten(F.zip_with(starts, F.concat(chained, F.array(size)), stretch))
+        return F.array_sort(F.array_distinct(F.concat(head, whole, gaps)))
 
     def over(w: Column) -> Column:
         places = F.filter(F.transform(w, lambda x, i: F.when(is_anchor(x), i)), lambda i: i.isNotNull())
