@@ -1,4 +1,4 @@
-"""What the training-data operators share: reading, cutting lineage, ranking."""
+"""What the training-data operators share: reading, cutting lineage, hot keys, ranking."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 _own_root: str | None = None
+_run_folders: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +34,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not conf.get("spark.master", "local").startswith(("local[", "local")) or conf.get(
-        "spark.master", "local"
-    ).startswith("local-cluster"):
+    master = conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="histsearch-")
@@ -43,13 +43,53 @@ def checkpoint_root(spark: SparkSession) -> str:
     return f"file://{os.path.abspath(_own_root)}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def _store(spark: SparkSession, path: str):
+    """(file system, path) of *path*, whatever store it is in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The application's own folder for written tables; it goes when the application ends."""
+    app, root = spark.sparkContext.applicationId, checkpoint_root(spark)
+    if app not in _run_folders:
+        path = f"{root}/histsearch-{app}"
+        store, at = _store(spark, path)
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+        _run_folders[app] = path
+    return _run_folders[app]
+
+
+#: Spark removes a query's shuffle files at its end: a table once written needs them no more.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, *spent: DataFrame) -> DataFrame:
     """Write *df* as Parquet under the shared folder and read it back: lineage
-    ends there, and a lost executor costs no recomputation of what came before."""
+    ends there, and a lost executor costs no recomputation of what came before. Tables
+    that were *spent* on it, and are read by nothing else, are removed then."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    discard(*spent)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by :func:`materialize` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "written_at", None)
+        if path:
+            store, at = _store(table.sparkSession, path)
+            store.delete(at, True)
 
 
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -63,18 +103,39 @@ def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
 HOT_ROWS = 1000
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """*names*, lengthened until they clash with none of *columns* (without regard to case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def join_by_key(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
     """*rows* with what *table* (written already, one row for each key, *n* rows of each)
-    knows of their key. Hot keys' rows stay where they are: fewer than BROADCAST_ROWS
-    keys can be hot, by their definition, so these are broadcast; the others meet by a
-    shuffle in which no key is large."""
-    total = table.agg(F.sum(n)).first()[0] or 0
-    most = max(HOT_ROWS, -(-total // BROADCAST_ROWS))
-    hot = table.where(F.col(n) > most)
+    knows of their key, null keys included. A small table is broadcast. Beyond that, hot
+    keys' rows stay where they are: fewer than BROADCAST_ROWS keys can be hot, by their
+    definition, so these are broadcast; the others meet by a shuffle in which no key is large."""
+    count, total = table.agg(F.count(F.lit(1)), F.sum(n)).first()
+    (own,) = fresh([*rows.columns, *table.columns], "own_key")
+    named = table.drop(n).withColumnRenamed(key, own)
+
+    def near(part: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(part), rows[key].eqNullSafe(part[own])).drop(own)
+
+    if count <= BROADCAST_ROWS:
+        return near(named)
+    most = max(HOT_ROWS, -(-(total or 0) // BROADCAST_ROWS))
+    is_hot = (F.col(n) > most) | F.col(key).isNull()
+    hot, cold = table.where(is_hot), table.where(~is_hot).drop(n)
+    known = rows.where(F.col(key).isNotNull())
     if hot.isEmpty():
-        return rows.join(table.drop(n), key)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(n) <= most).drop(n), key)
-    return rows.join(F.broadcast(hot.drop(n)), key).unionByName(cold)
+        return known.join(cold, key).select(*rows.columns, *[c for c in cold.columns if c != key])
+    meet = known.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return near(hot.drop(n).withColumnRenamed(key, own)).unionByName(meet)
 
 
 def n_words(text: Column) -> Column:
@@ -97,19 +158,31 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def whole_row(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of *docs* in one struct, so that no name of ours meets one of theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
+
+
+def running(df: DataFrame, order: list[Column], label: str, spent: tuple = (), **sums: Column) -> DataFrame:
+    """*df* with, for each name in *sums*, the sum of its values over the rows before each
+    row in *order* (of ones: the row's number from 0), without a single task that sees them all.
+
+    The rows are written once, dealt out by ranges of *order*; each range is summed on
+    its own and starts where the ranges before it end. *order* should tell rows apart,
+    so that no range grows with one key. The table of ranges that is broadcast has one row
+    for each shuffle partition."""
+    part, *marks = fresh([*df.columns, *sums], "range_", *[f"{s}_before_" for s in sums])
+    values = fresh([*df.columns, *sums, part, *marks], *[f"{s}_value_" for s in sums])
+    valued = df.select("*", *[c.cast("long").alias(v) for v, c in zip(values, sums.values())])
+    dealt = materialize(valued.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), label, *spent)
+    totals = dealt.groupBy(part).agg(*[F.sum(v).alias(v) for v in values])
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(part, *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(m) for v, m in zip(values, marks)])
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.join(F.broadcast(starts), part)
+    return found.select(*df.columns, *[(F.col(m) + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(s) for s, v, m in zip(sums, values, marks)])
+
+
 def global_rank(df: DataFrame, order: list[Column], rank: str, label: str) -> DataFrame:
-    """Number the rows of *df* from 0 in *order*, gapless, without a single task
-    that sees them all. The rows are written once, dealt out by ranges of *order*;
-    each range is numbered on its own and starts where the ranges before it end.
-    *order* should tell rows apart, so that no range grows with one key.
-    The table of ranges that is broadcast has one row for each shuffle partition."""
-    dealt = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), label)
-    totals = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_range").orderBy(*order)
-    return (
-        dealt.join(F.broadcast(starts), "_range")
-        .withColumn(rank, F.col("_start") + F.row_number().over(within) - 1)
-        .drop("_range", "_start")
-    )
+    """The rows of *df*, numbered from 0 in *order*, gapless (see :func:`running`)."""
+    return running(df, order, label, (), **{rank: F.lit(1)})

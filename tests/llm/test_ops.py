@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from histsearch.llm import fixity, hosts, lines, mixing, packing, quality, sharding, simhash, spotsigs, urls
+from histsearch.llm import hosts, lines, mixing, packing, quality, sharding, simhash, spotsigs, urls
 from histsearch.llm.common import global_rank
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, hash string, rank int, fp long, score double, unit int, place int, source_size int"
@@ -278,32 +278,6 @@ def test_one_of_each_component_stays(docs):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(set(components), key=str)
 
 
-# 6: fixity
-
-
-def test_fixity(spark, monkeypatch):
-    monkeypatch.setattr(fixity, "FANOUT", 3)
-    rows = [(i, f"http://h/{i}", "x" * (i % 7) if i % 5 else None, "extra") for i in range(40)] + [(7, "http://h/7", "", "e"), (None, None, "n", "e")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, hash string").repartition(3).cache()
-    assert {r["status"] for r in fixity.audit(pages, pages).collect()} == {"ok"}
-    hurt = pages.withColumn("html", F.when(F.col("page_id").isin(4, 33), "!").otherwise(F.col("html")))
-    got = fixity.audit(pages, hurt).collect()
-    # A longer record also moves the offsets that follow it in its file of nine.
-    bad = {r["page_id"] for r in got if r["status"] != "ok"}
-    assert {4, 33} <= bad and all(r["status"] in ("ok", "corrupt") for r in got) and len(got) == 42
-    by_file = defaultdict(list)
-    for r in got:
-        by_file[r["warc"]].append((r["record_offset"], r["record_length"]))
-    for own in by_file.values():
-        upto = 0
-        for start, n in sorted(own):
-            assert start == upto
-            upto += n
-    short = fixity.audit(pages, pages.where("page_id < 20")).collect()
-    assert sum(r["status"] == "missing" for r in short) > 0
-    assert fixity.audit(pages.where("false"), pages.where("false")).collect() == []
-
-
 # 7: quality
 
 
