@@ -163,6 +163,19 @@ def whole_row(docs: DataFrame, name: str = "row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
 
 
+def row_key(doc_id: Column, text_hash: Column) -> list[Column]:
+    """Two numbers, never null, that tell documents apart by id and text."""
+    return [F.xxhash64(doc_id).alias("id_key"), text_hash.alias("text_key")]
+
+
+def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """One of the rows of *docs*, all columns, for each (id_key, text_key) of *keep*.
+    Texts are shuffled once: the join and the choice among equal rows need the same partitions."""
+    keyed = docs.select(whole_row(docs), *row_key(docs["doc_id"], F.xxhash64(docs["text"])))
+    kept = keyed.join(keep, ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def running(df: DataFrame, order: list[Column], label: str, spent: tuple = (), **sums: Column) -> DataFrame:
     """*df* with, for each name in *sums*, the sum of its values over the rows before each
     row in *order* (of ones: the row's number from 0), without a single task that sees them all.

@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, join_by_key, materialize, read_table, running
+from .common import BROADCAST_ROWS, bounded, discard, join_by_key, materialize, read_table, running
 
 #: Children of a node; records in a leaf's range, and in a file, on average.
 FANOUT = 32
@@ -127,11 +127,15 @@ def differing(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
 
 
 def _marked(records: DataFrame, bad: DataFrame) -> DataFrame:
-    """*records* with suspect: whether their range is one of *bad*; ranges are salted,
-    so that a large one is spread."""
-    salted = bad.select(F.col("node").alias("range"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("suspect"))
-    own = records.withColumn("salt", F.pmod(F.hash("sha256"), F.lit(SALTS)))
-    return own.join(bounded(salted), ["range", "salt"], "left").withColumn("suspect", F.coalesce("suspect", F.lit(False))).drop("salt")
+    """*records* with suspect: whether their range is one of *bad*. Beyond a table that
+    can be broadcast, ranges are salted, so that a large one is spread."""
+    marks = bad.select(F.col("node").alias("range"), F.lit(True).alias("suspect"))
+    if bad.count() <= BROADCAST_ROWS:
+        joined = records.join(F.broadcast(marks), "range", "left")
+    else:
+        salted = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = records.withColumn("salt", F.pmod(F.hash("sha256"), F.lit(SALTS))).join(salted, ["range", "salt"], "left").drop("salt")
+    return joined.withColumn("suspect", F.coalesce("suspect", F.lit(False)))
 
 
 RECORD = ("id_hash", "page_id", "sha256", "length", "warc", "offset")

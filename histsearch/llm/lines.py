@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_by_key, materialize, read_table
+from .common import join_by_key, materialize, read_table, row_key, whole_row
 
 UNIT_WORDS = 4
 MIN_WORDS = 5
@@ -34,13 +35,13 @@ CAPITALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata
 BORDER = re.compile(r"\n|[.!?…][ \t]+(?=\S)|[ \t](?=[%s])" % re.escape(CAPITALS))
 
 
-def units(text: str) -> list[tuple[int, int, list[str]]]:
+def units(text: str, unit_words: int = UNIT_WORDS) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of the units, which together are the whole text."""
     out, start, words, upto = [], 0, [], 0
     for at in [m.end() for m in BORDER.finditer(text)] + [len(text)]:
         words += text[upto:at].split()
         upto = at
-        if at > start and (len(words) >= UNIT_WORDS or at == len(text) or text[at - 1] == "\n"):
+        if at > start and (len(words) >= unit_words or at == len(text) or text[at - 1] == "\n"):
             out.append((start, at, words))
             start, words = at, []
     return out
@@ -56,12 +57,12 @@ def digest(words: list[str]) -> bytes:
 SLICE = 256
 
 
-def unit_digests(batches):
+def unit_digests(batches, unit_words: int = UNIT_WORDS):
     """A row for each unit that has words, numbered within its text."""
     for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
         row, index, starts, ends, sizes, digests = [], [], [], [], [], []
         for at, text in enumerate(batch.column(2)):
-            found = [u for u in units(text.as_py() or "") if u[2]]
+            found = [u for u in units(text.as_py() or "", unit_words) if u[2]]
             row += [at] * len(found)
             index += range(len(found))
             for start, end, words in found:
@@ -75,9 +76,9 @@ def unit_digests(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *numbers, pa.array(digests, pa.binary())], names=["doc_id", "hash", "unit", "start", "end", "size", "digest"])
 
 
-def kept_spans(length: int, repeated: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+def kept_spans(length: int, repeated: list[tuple[int, int, int, int]], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
     """Spans of a text of *length* that stay, given (unit, start, end, words) of the
-    units that occurred earlier: runs of neighbours with MIN_WORDS words or more go."""
+    units that occurred earlier: runs of neighbours with *min_words* words or more go."""
     runs: list[list[int]] = []
     for unit, start, end, n in sorted(repeated):
         if runs and runs[-1][0] == unit - 1:
@@ -86,7 +87,7 @@ def kept_spans(length: int, repeated: list[tuple[int, int, int, int]]) -> list[t
             runs.append([unit, start, end, n])
     spans, at = [], 0
     for _, start, end, n in runs:
-        if n >= MIN_WORDS:
+        if n >= min_words:
             if start > at:
                 spans.append((at, start))
             at = end
@@ -98,40 +99,42 @@ RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("kep
 
 
 @F.pandas_udf(RESULT)
-def clean(texts: pd.Series, repeated: pd.Series) -> pd.DataFrame:
+def clean(texts: pd.Series, repeated: pd.Series, min_words: pd.Series) -> pd.DataFrame:
     rows = []
-    for text, again in zip(texts, repeated):
+    for text, again, least in zip(texts, repeated, min_words):
         if again is None or text is None:
             spans = [(0, len(text))] if text else []
         else:
-            spans = kept_spans(len(text), [(u["unit"], u["start"], u["end"], u["size"]) for u in again])
+            spans = kept_spans(len(text), [(u["unit"], u["start"], u["end"], u["size"]) for u in again], least)
             text = "".join(text[s:e] for s, e in spans)
         rows.append((text, [{"start": s, "end": e} for s, e in spans]))
     return pd.DataFrame(rows, columns=["text", "kept"])
 
 
-def repeated_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, units): for each document the units that occurred earlier."""
+def repeated_units(docs: DataFrame, unit_words: int = UNIT_WORDS) -> DataFrame:
+    """(id_key, text_key, units): for each document the units that occurred earlier."""
     int_, id_type = T.IntegerType(), docs.schema["doc_id"].dataType
     kinds = {"doc_id": id_type, "hash": T.LongType(), "unit": int_, "start": int_, "end": int_, "size": int_, "digest": T.BinaryType()}
     schema = T.StructType([T.StructField(n, k) for n, k in kinds.items()])
-    found = materialize(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(unit_digests, schema), "lines-units")
+    cut = partial(unit_digests, unit_words=unit_words)
+    found = materialize(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(cut, schema), "lines-units")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "unit")
     first = materialize(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1"), "lines-first")
     later = join_by_key(found, first, "digest", "n").where(~F.col("first").eqNullSafe(place))
-    return later.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("unit", "start", "end", "size")).alias("units"))
+    keyed = later.groupBy(*row_key(F.col("doc_id"), F.col("hash"))).agg(F.collect_set(F.struct("unit", "start", "end", "size")).alias("units"))
+    return materialize(keyed, "lines-repeated", found, first)
 
 
-def drop_repeated_lines(docs: DataFrame, details: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, details: bool = False, min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS) -> DataFrame:
     """*docs* with the repeated units taken out of the text; with *details* also
     kept (spans of the original text, in code points) and n_repeated (units that
-    occurred earlier)."""
-    again = repeated_units(docs).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("units").alias("_units"))
-    tagged = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = tagged["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    joined = tagged.join(again, same, "left").withColumn("_clean", clean("text", "_units"))
-    more = [F.col("_clean.kept").alias("kept"), F.coalesce(F.size("_units"), F.lit(0)).alias("n_repeated")] if details else []
-    return joined.select(*[F.col("_clean.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], *more)
+    occurred earlier). With *min_words* and *unit_words* of 1 every repeated unit goes, however short."""
+    again = repeated_units(docs, unit_words)
+    rows = docs.select(whole_row(docs), *row_key(docs["doc_id"], F.xxhash64(docs["text"])))
+    joined = rows.join(again, ["id_key", "text_key"], "left").withColumn("clean", clean("row.text", "units", F.lit(min_words)))
+    more = [F.col("clean.kept").alias("kept"), F.coalesce(F.size("units"), F.lit(0)).alias("n_repeated")] if details else []
+    own = [F.col("clean.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return joined.select(*own, *more)
 
 
 def op9_line_dedup(spark, sf_dir):

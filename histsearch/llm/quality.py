@@ -13,7 +13,8 @@ whose crc32 of the id leaves no rest mod 5 are never learned from.
 Defined results: null and empty texts have the features of no words and a score as
 any other; without labels of both kinds every score is 0.5; rows that repeat are
 scored each; ids with several labels count by their mean; an empty table gives no
-rows; columns other than doc_id and text play no part.
+rows; texts of any length are read whole;
+equal scores share a side of the cut; columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import fresh, read_table
 
 MAX_LABELLED = 20_000
 MAX_PAIRS = 60_000
@@ -146,6 +147,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Ranker:
 
 
 def with_score(docs: DataFrame, ranker: Ranker, name: str = "score") -> DataFrame:
+    """*docs* with a column *name* more; where they have one of that name, ours gets a longer one."""
+    (name,) = fresh(docs.columns, name)
+
     @F.pandas_udf(T.DoubleType())
     def score_of(texts: pd.Series) -> pd.Series:
         x = np.array([features(t) for t in texts], float).reshape(len(texts), FEATURES)
@@ -156,7 +160,8 @@ def with_score(docs: DataFrame, ranker: Ranker, name: str = "score") -> DataFram
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """*docs*, all columns, without the documents scored below CUT."""
-    return with_score(docs, train(docs, labels), "_score").where(F.col("_score") >= CUT).drop("_score")
+    (name,) = fresh(docs.columns, "score")
+    return with_score(docs, train(docs, labels), name).where(F.col(name) >= CUT).drop(name)
 
 
 def op7_bradley_terry_quality(spark, sf_dir):

@@ -106,6 +106,7 @@ def test_one_id_with_most_rows(spark, monkeypatch):
     from histsearch.llm import common
 
     monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(fixity, "BROADCAST_ROWS", 2)
     monkeypatch.setattr(common, "HOT_ROWS", 5)
     ours = [(1, "u", str(i)) for i in range(60)] + [(2, "u", "same")] * 40 + [(i, "u", "z") for i in range(3, 40)]
     theirs = [(1, "u", str(i) + ("!" if i % 9 == 0 else "")) for i in range(58)] + [(2, "u", "same")] * 43 + ours[100:]

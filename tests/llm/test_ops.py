@@ -291,12 +291,12 @@ def test_quality(spark, docs, none):
     rows = quality.with_score(texts, ranker).collect()
     right = [(r["score"] >= quality.CUT) == (r["doc_id"] < 2000) for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert len(right) > 20 and np.mean(right) > 0.95
-    scored = quality.with_score(docs.drop("score"), ranker).collect()
-    assert len(scored) == len(ROWS) and all(0 <= r["score"] <= 1 for r in scored)
+    scored = quality.with_score(docs, ranker).collect()
+    assert len(scored) == len(ROWS) and all(0 <= r["score_"] <= 1 and r["score"] in (0.5, None) for r in scored)
     kept = quality.keep_good(texts, labels)
     assert kept.columns == texts.columns and {r["doc_id"] for r in kept.collect()} >= {i for i, _ in good[:100]} - {r["doc_id"] for r in rows if r["score"] < quality.CUT}
     assert quality.keep_good(none, labels.where("false")).collect() == []
-    assert {r["score"] for r in quality.with_score(docs.drop("score"), quality.train(docs, labels.where("false"))).collect()} == {0.5}
+    assert {r["score_"] for r in quality.with_score(docs, quality.train(docs, labels.where("false"))).collect()} == {0.5}
 
 
 def test_held_out_rows_are_not_learned():
