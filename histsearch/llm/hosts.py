@@ -1,11 +1,13 @@
 """Quality rules judged by host (native).
 
-Rules are checked on every whole text. Their failures are summed by host, here the
-document's source, and each host's rate of failure is shrunk towards a beta prior that
-is fitted to all hosts by moments. A host whose shrunk rate for a rule reaches BLOCKED
-loses all its documents; where it reaches SUSPECT, the documents that fail that rule
-go; below that a failure counts as chance and the document stays. The verdicts are
-joined back to the documents' numbers, which were written once, so that texts are read
+Rules are checked on every whole text, each at two levels: clear failures and mild ones
+(which include the clear). Both are summed by host, here the document's source, and each host's
+rates of failure are shrunk towards beta priors that are fitted to all hosts by moments. A
+host whose shrunk rate of clear failures of a rule reaches BLOCKED loses all its documents. A
+clear failure counts against its document whatever its host is like; a mild one counts
+only at hosts that are suspect: whose shrunk rate of mild failures is SUSPECT times
+that of all documents. So a host's record tightens the rules and never excuses a failure. The
+verdicts are joined back to the documents' numbers, which were written once, so that texts are read
 once and never shuffled.
 
 Defined results: null and empty texts have no words and fail the word count; a null
@@ -19,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, bounded, let, materialize, read_table, words
+from .common import SPACES, join_by_key, let, materialize, read_table, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 BLOCKED = 0.5
-SUSPECT = 0.02
+SUSPECT = 1.5
+#: Fewer lines that equal an earlier one are no failure of that rule, in texts of any length; 1 counts every one.
+DUP_LINES_FROM = 3
 #: The prior weighs as much as this many documents, at least and at most.
 PRIOR_WEIGHT = (2.0, 1000.0)
 WINDOW = 3
@@ -80,20 +84,20 @@ def text_numbers(docs: DataFrame, host: str = "source") -> DataFrame:
     ).select("doc_id", "host", "c.*", "l.*", "word_chars", "n_symbols")
 
 
-def rules() -> dict[str, Column]:
-    n = F.col("n_words")
+def rules(dup_lines_from: int = DUP_LINES_FROM) -> dict[str, tuple[Column, Column]]:
+    """(clear, mild) failure of each rule."""
+    n, symbols, chars, dup, lines = (F.col(c) for c in ("n_words", "n_symbols", "word_chars", "n_dup_lines", "n_lines"))
+    few, repeats = n < MIN_WORDS, 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n
+    again = dup >= dup_lines_from
     return {
-        "few_words": n < MIN_WORDS,
-        "repeats": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n,
-        "symbols": 10 * F.col("n_symbols") > n,
-        "word_length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n),
-        "dup_lines": (F.col("n_dup_lines") > 2) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        "few_words": (few, few),
+        "repeats": (repeats, repeats),
+        "symbols": (10 * symbols > n, 50 * symbols > n),
+        "word_length": ((chars < 2 * n) | (chars > 15 * n), (chars < 3 * n) | (chars > 12 * n)),
+        "dup_lines": (again & (2 * dup > lines), again & (10 * dup > 3 * lines)),
     }
 
 
-BASE_RULES = ("few_words", "repeats")
-
-
 def beta_prior(hosts: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
     """(a, b) of each rule's beta prior by the moments of the hosts' rates; one row
     of sums reaches the driver."""
@@ -113,35 +117,33 @@ def beta_prior(hosts: DataFrame, names: list[str]) -> dict[str, tuple[float, flo
     return out
 
 
-def host_verdicts(numbers: DataFrame) -> DataFrame:
-    """(host, n, rates, blocked, suspect): shrunk failure rates by rule and verdicts."""
-    checks = rules()
-    names = list(checks)
-    hosts = materialize(numbers.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.sum(checks[r].cast("long")).alias(r) for r in names]), "hosts")
-    prior = beta_prior(hosts, names)
-    shrunk = {r: (F.col(r) + prior[r][0]) / (F.col("n") + sum(prior[r])) for r in names}
-    rates = F.struct(*[shrunk[r].alias(r) for r in names])
+def host_verdicts(numbers: DataFrame, dup_lines_from: int = DUP_LINES_FROM) -> DataFrame:
+    """(host, n, blocked, suspect, rates): verdicts and shrunk failure rates by rule."""
+    checks = rules(dup_lines_from)
+    sums = {f"{kind}_{r}": check.cast("long") for r, both in checks.items() for kind, check in zip(("clear", "mild"), both)}
+    hosts = materialize(numbers.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()]), "hosts")
+    prior = beta_prior(hosts, list(sums))
+    shrunk = {name: (F.col(name) + a) / (F.col("n") + (a + b)) for name, (a, b) in prior.items()}
+    mean = {name: a / (a + b) for name, (a, b) in prior.items()}
     return hosts.select(
         "host",
         "n",
-        rates.alias("rates"),
-        F.greatest(*shrunk.values()).__ge__(BLOCKED).alias("blocked"),
-        F.struct(*[(shrunk[r] >= SUSPECT).alias(r) for r in names]).alias("suspect"),
+        F.greatest(*[shrunk[f"clear_{r}"] for r in checks]).__ge__(BLOCKED).alias("blocked"),
+        F.struct(*[(shrunk[f"mild_{r}"] > SUSPECT * mean[f"mild_{r}"]).alias(r) for r in checks]).alias("suspect"),
+        F.struct(*[rate.alias(name) for name, rate in shrunk.items()]).alias("rates"),
     )
 
 
-def judge(docs: DataFrame, host: str = "source") -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", dup_lines_from: int = DUP_LINES_FROM) -> DataFrame:
     """Every document with its numbers, base_failed, host_blocked and kept."""
     numbers = materialize(text_numbers(docs, host), "host-numbers")
-    verdicts = host_verdicts(numbers).select(F.col("host").alias("of"), "blocked", "suspect")
-    checks = rules()
-    base = checks["few_words"] | checks["repeats"]
-    failed = [checks[r] & F.col("suspect")[r] for r in checks]
+    verdicts = materialize(host_verdicts(numbers, dup_lines_from).select("host", "n", "blocked", "suspect"), "host-verdicts")
+    checks = rules(dup_lines_from)
+    base = checks["few_words"][0] | checks["repeats"][0]
     bad = F.col("blocked")
-    for each in failed:
-        bad = bad | each
-    joined = numbers.join(bounded(verdicts), numbers["host"].eqNullSafe(F.col("of")))
-    return joined.select(
+    for r, (clear, mild) in checks.items():
+        bad = bad | clear | (mild & F.col("suspect")[r])
+    return join_by_key(numbers, verdicts, "host", "n").select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -179,20 +181,22 @@ m AS (
          coalesce(cov.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN cov ON d.k = cov.k),
 r AS (
-  SELECT *, n_lines - n_own AS n_dup_lines,
-         n_words < {MIN_WORDS} AS few_words, 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS repeats,
-         10 * n_symbols > n_words AS symbols, word_chars < 2 * n_words OR word_chars > 15 * n_words AS word_length,
-         n_lines - n_own > 2 AND 10 * (n_lines - n_own) > 3 * n_lines AS dup_lines
+  SELECT *, n_lines - n_own AS n_dup_lines, n_words < {MIN_WORDS} AS few_words, 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS repeats
   FROM m),
-l AS (UNPIVOT (SELECT k, host, few_words::INT AS few_words, repeats::INT AS repeats, symbols::INT AS symbols,
-                      word_length::INT AS word_length, dup_lines::INT AS dup_lines FROM r)
-      ON few_words, repeats, symbols, word_length, dup_lines INTO NAME rule VALUE fail),
-h AS (SELECT host, rule, count(*) AS n, sum(fail) AS f FROM l GROUP BY host, rule),
-g AS (SELECT rule, sum(f) / sum(n) AS mu FROM h GROUP BY rule),
-v AS (SELECT h.rule, mu, sum(n * (f / n - mu) * (f / n - mu)) / sum(n) AS va FROM h JOIN g ON h.rule = g.rule GROUP BY h.rule, mu),
-p AS (SELECT rule, mu, least(greatest(CASE WHEN va > 0 THEN mu * (1 - mu) / va - 1 ELSE {PRIOR_WEIGHT[1]} END, {PRIOR_WEIGHT[0]}), {PRIOR_WEIGHT[1]}) AS wt FROM v),
-s AS (SELECT host, h.rule, (f + mu * wt) / (n + wt) AS rate FROM h JOIN p ON h.rule = p.rule),
-b AS (SELECT l.k, max(rate) >= {BLOCKED} AS blocked, bool_or(fail = 1 AND rate >= {SUSPECT}) AS bad
+l AS (
+  SELECT k, host, 'few_words' AS rule, few_words::INT AS clear, few_words::INT AS mild FROM r
+  UNION ALL SELECT k, host, 'repeats', repeats::INT, repeats::INT FROM r
+  UNION ALL SELECT k, host, 'symbols', (10 * n_symbols > n_words)::INT, (50 * n_symbols > n_words)::INT FROM r
+  UNION ALL SELECT k, host, 'word_length', (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT, (word_chars < 3 * n_words OR word_chars > 12 * n_words)::INT FROM r
+  UNION ALL SELECT k, host, 'dup_lines', (n_dup_lines >= {DUP_LINES_FROM} AND 2 * n_dup_lines > n_lines)::INT, (n_dup_lines >= {DUP_LINES_FROM} AND 10 * n_dup_lines > 3 * n_lines)::INT FROM r),
+h AS (SELECT host, rule, kind, count(*) AS n, sum(fail) AS f FROM (
+        SELECT host, rule, 'clear' AS kind, clear AS fail FROM l UNION ALL SELECT host, rule, 'mild', mild FROM l) GROUP BY host, rule, kind),
+g AS (SELECT rule, kind, sum(f) / sum(n) AS mu FROM h GROUP BY rule, kind),
+v AS (SELECT rule, kind, mu, sum(n * (f / n - mu) * (f / n - mu)) / sum(n) AS va FROM h JOIN g USING (rule, kind) GROUP BY rule, kind, mu),
+p AS (SELECT rule, kind, mu, least(greatest(CASE WHEN va > 0 THEN mu * (1 - mu) / va - 1 ELSE {PRIOR_WEIGHT[1]} END, {PRIOR_WEIGHT[0]}), {PRIOR_WEIGHT[1]}) AS wt FROM v),
+s AS (SELECT host, rule, max(CASE WHEN kind = 'clear' THEN (f + mu * wt) / (n + wt) END) AS clear_rate,
+             bool_or(kind = 'mild' AND (f + mu * wt) / (n + wt) > {SUSPECT} * mu) AS suspect FROM h JOIN p USING (rule, kind) GROUP BY host, rule),
+b AS (SELECT l.k, max(clear_rate) >= {BLOCKED} AS blocked, bool_or(clear = 1 OR mild = 1 AND suspect) AS bad
       FROM l JOIN s ON l.host IS NOT DISTINCT FROM s.host AND l.rule = s.rule GROUP BY l.k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        few_words OR repeats AS base_failed, NOT (few_words OR repeats) AND NOT blocked AND NOT bad AS kept,
