@@ -10,7 +10,8 @@ is then a filter on the place: no rows are sorted, and only histograms
 
 Defined results: null text and texts without words have size 0 and are kept once
 where a full pass of their source is taken; a null source is a source of its own,
-ordered last; rows that repeat are separate rows; an empty table gives no rows;
+ordered last; rows that repeat are separate rows, and rows at one place are parted by the
+second 60 bits; very long texts are counted whole; an empty table gives no rows;
 columns other than doc_id, text and source play no part.
 """
 
@@ -19,14 +20,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, n_words
+from .common import global_rank, join_by_key, materialize, n_words, read_table
 
 BITS = 10
 LEVELS = 6
 
 
 def source_targets(sizes: DataFrame, weights=(3.0, 1.0, 2.0), budget: float = 1.5, epochs: float = 2.0) -> DataFrame:
-    """*sizes* (source, source_size) with each source's target.
+    """*sizes* (source, source_size, n) with each source's target.
 
     Sources in code-point order, null last, weigh *weights*, repeating. They share
     *budget* times all words by weight; a target stops at *epochs* times its source,
@@ -34,12 +35,9 @@ def source_targets(sizes: DataFrame, weights=(3.0, 1.0, 2.0), budget: float = 1.
     are ``least(weight * level, epochs * size)`` for one level, found in a few
     rounds of one-row aggregates; no source is collected.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(order) - 1) % len(weights)
-    weighed = materialize(
-        sizes.select("source", "source_size", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int")).alias("weight")),
-        "mix-sources",
-    )
+    ranked = global_rank(sizes.select("source", "source_size", "n"), [F.col("source").asc_nulls_last()], "place", "mix-places")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    weighed = materialize(ranked.select("source", "source_size", "n", weight.alias("weight")), "mix-sources")
     limit = F.col("source_size") * F.lit(float(epochs))
     total = weighed.agg(F.sum("source_size")).first()[0] or 0
     level = 0.0
@@ -74,12 +72,13 @@ def mix_sources(docs: DataFrame, weights=(3.0, 1.0, 2.0), budget: float = 1.5, e
     ).withColumn("tie", F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 4))
     base = materialize(placed, "mix-rows")
 
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(sizes, weights, budget, epochs)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     state = materialize(
         targets.select(
-            F.col("source").alias("s"),
+            "source",
+            "n",
             "source_size",
             "target",
             passes.cast("int").alias("passes"),
@@ -92,19 +91,17 @@ def mix_sources(docs: DataFrame, weights=(3.0, 1.0, 2.0), budget: float = 1.5, e
         ),
         "mix-state",
     )
-    n_sources = state.count()
-
     for level in range(2 * LEVELS):
         if state.where(~F.col("done")).isEmpty():
             break
-        state = materialize(_refine(base, state, level, n_sources), "mix-state")
+        state = materialize(_refine(base, state, level), "mix-state", state)
 
     p = F.expr(f"shiftright(pos, {BITS} * greatest({LEVELS} - depth, 0))")
     t = F.expr(f"shiftright(tie, {BITS} * greatest({2 * LEVELS} - depth, 0))")
     at_tie = F.when(F.col("depth") <= LEVELS, F.col("inclusive")).otherwise((t < F.col("cut_tie")) | ((t == F.col("cut_tie")) & F.col("inclusive")))
     taken = F.when(F.col("depth") == 0, F.lit(False)).otherwise((p < F.col("cut_pos")) | ((p == F.col("cut_pos")) & at_tie))
-    out = base.join(bounded(state, n_sources), base["source"].eqNullSafe(F.col("s")))
-    return out.select(
+    known = state.select("source", "n", "source_size", "target", "passes", "depth", "inclusive", "cut_pos", "cut_tie")
+    return join_by_key(base, known, "source", "n").select(
         "doc_id",
         *[F.col(f"_{i}").alias(c) for i, c in enumerate(aliases or columns or [])],
         "size",
@@ -114,29 +111,30 @@ def mix_sources(docs: DataFrame, weights=(3.0, 1.0, 2.0), budget: float = 1.5, e
     )
 
 
-def _refine(base: DataFrame, state: DataFrame, level: int, n_sources: int) -> DataFrame:
+def _refine(base: DataFrame, state: DataFrame, level: int) -> DataFrame:
     """One level: histograms of the rows still at the boundary, and the new boundary."""
-    open_ = state.where(~F.col("done")).select("s", "need", "cut_pos", "cut_tie")
-    at = base.join(bounded(open_, n_sources), base["source"].eqNullSafe(F.col("s")))
+    open_ = state.where(~F.col("done")).select("source", "n", "need", "cut_pos", "cut_tie")
+    at = join_by_key(base.select("source", "size", "pos", "tie"), open_, "source", "n")
     if 0 < level < LEVELS:
         at = at.where(F.shiftright("pos", BITS * (LEVELS - level)) == F.col("cut_pos"))
     elif level >= LEVELS:
         at = at.where((F.col("pos") == F.col("cut_pos")) & (F.shiftright("tie", BITS * (2 * LEVELS - level)) == F.col("cut_tie")))
-    hist = at.groupBy("s", _digit(level).alias("digit")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.first("need").alias("need"))
-    upto = Window.partitionBy("s").orderBy("digit")
+    hist = at.groupBy("source", _digit(level).alias("digit")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.first("need").alias("need"))
+    upto = Window.partitionBy("source").orderBy("digit")
     summed = hist.withColumn("upto", F.sum("words").over(upto)).withColumn("before", F.col("upto") - F.col("words"))
     # The first bucket whose end passes the budget; the very last one if rounding hides it.
-    edge = summed.where(F.col("upto") > F.col("need")).groupBy("s").agg(F.min(F.struct("digit", "before", "words", "rows")).alias("edge"))
+    edge = summed.where(F.col("upto") > F.col("need")).groupBy("source").agg(F.min(F.struct("digit", "before", "words", "rows")).alias("edge"))
     left = F.col("need") - F.col("edge.before")
     alone = (F.col("edge.rows") <= 1) | F.lit(level == 2 * LEVELS - 1)
-    step = edge.select(F.col("s").alias("s2"), "edge")
-    joined = state.join(bounded(step, n_sources), F.col("s").eqNullSafe(F.col("s2")), "left")
+    step = edge.select(F.col("source").alias("of"), "edge")
+    joined = state.join(step, F.col("source").eqNullSafe(F.col("of")), "left")  # a row for each source on either side
     moved = F.col("edge").isNotNull() & ~F.col("done")
     cut = "cut_pos" if level < LEVELS else "cut_tie"
     grown = F.when(moved, F.col(cut) * (1 << BITS) + F.col("edge.digit")).otherwise(F.when(F.col("done"), F.col(cut)).otherwise((F.col(cut) + 1) * (1 << BITS)))
     columns = {cut: grown, "depth": F.when(F.col("done"), F.col("depth")).otherwise(F.lit(level + 1))}
     return joined.select(
-        "s",
+        "source",
+        "n",
         "source_size",
         "target",
         "passes",
@@ -148,7 +146,5 @@ def _refine(base: DataFrame, state: DataFrame, level: int, n_sources: int) -> Da
 
 
 def op10_hash_threshold_mix(spark, sf_dir):
-    from .common import read_table
-
     mixed = mix_sources(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
