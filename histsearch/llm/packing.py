@@ -13,8 +13,8 @@ rank form, which is about five times as fast; a text that holds the special toke
 string goes to the first library. Tests hold the two against each other.
 
 Defined results: null and empty texts are one piece with the end id alone; a text of
-any length is cut into whole pieces; rows that repeat are packed each by itself; an
-empty table gives no rows; columns other than doc_id and text play no part.
+any length is cut into whole pieces; rows that repeat are packed each by itself, and pieces of
+one length are ranked by a hash of their content; an empty table gives no rows; columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -224,8 +224,8 @@ def segments(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, in
 def pack(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str, str] | None = None) -> DataFrame:
     """Pieces of all *docs* with sequence_id and offset.
 
-    The segments that are broadcast come from a histogram of at most *capacity*
-    lengths; their number is checked to stay below SEGMENTS.
+    The segments come from a histogram of at most *capacity* lengths. Up to SEGMENTS of them
+    are broadcast; more would meet the pieces by a shuffle on blocks of ranks.
     """
     spark = docs.sparkSession
     made = materialize(pieces(docs, capacity, paths), "pack-pieces")
@@ -236,19 +236,24 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str, str]
         starts[length], total = total, total + hist[length]
     # Ranks over all pieces in order of length; a length's own ranks begin at its start.
     rows = [(length, starts[length] + lo, starts[length] + hi, seq, off) for length, lo, hi, seq, off in table]
-    if len(rows) > SEGMENTS:
-        raise ValueError(f"the plan has {len(rows)} segments")
     placed = spark.createDataFrame(rows, "seg_length int, lo long, hi long, first long, offset long")
     order = [F.col("length"), F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("doc_id"), F.col("piece")]
     ranked = global_rank(made, order, "rank", "pack-ranked")
     at = (F.col("length") == F.col("seg_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    return ranked.join(F.broadcast(placed), at).select(
+    if len(rows) <= SEGMENTS:
+        met = ranked.join(F.broadcast(placed), at)
+    else:
+        blocks = F.explode(F.sequence(F.floor(F.col("lo") / RANK_BLOCK), F.floor((F.col("hi") - 1) / RANK_BLOCK)))
+        met = ranked.withColumn("block", F.floor(F.col("rank") / RANK_BLOCK)).join(placed.withColumn("block", blocks), "block").where(at)
+    return met.select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset"
     )
 
 
 #: Segments grow with the number of distinct lengths and patterns, not with documents.
 SEGMENTS = 500_000
+#: Pieces that follow each other in rank and meet their segments together, where these aren't broadcast.
+RANK_BLOCK = 1024
 
 
 def op8_pattern_packing(spark, sf_dir):
