@@ -2,10 +2,10 @@
 
 Anchors are common short words: of each language the ANCHORS most frequent words of at
 most ANCHOR_CHARS letters, counted over all documents. A signature is an anchor
-with the CHAIN content words (words that are no anchors) that follow it; each of
-the first HEAD words starts one more, so that short texts have some too, and so does
-each word that lies GAP words or more behind the last anchor with a chain, so that texts or
-stretches without anchors are seen whole. A fingerprint is the sorted set of 31-bit hashes of the signatures, as hexadecimal digits.
+with the CHAIN content words (words that are no anchors) that follow it. Each word that lies
+GAP words or more behind the last anchor with a chain starts one more, in a text without such
+anchors every word, so that texts or stretches without anchors are seen whole. A fingerprint is the
+sorted set of 31-bit hashes of the signatures, as hexadecimal digits.
 Two fingerprints are compared by Jaccard similarity.
 
 ``near_duplicates`` joins fingerprints: equal sets meet first, sets are dealt into ranges
@@ -14,9 +14,10 @@ only sets that share one of their rarest signatures (as many as the threshold
 demands) are compared.
 
 Defined results: null and blank texts have the empty fingerprint, which is like
-itself (1) and unlike any other (0); very long texts are read whole; rows that repeat
-have equal fingerprints and follow each other in order of their text; null ids come last; an empty table
-gives no rows; other columns play no part, lang only in choosing anchors for all texts.
+itself (1) and unlike any other (0); very long texts are read whole; documents with one id follow each
+other in descending order of their texts' hashes, rows that are wholly equal lie side by side in one range; null
+ids come last; an empty table gives no rows; other columns play no part, lang only in choosing anchors
+for all texts.
 """
 
 from __future__ import annotations
@@ -29,13 +30,12 @@ from .common import join_by_key, let, materialize, read_table
 ANCHORS = 16
 ANCHOR_CHARS = 4
 CHAIN = 2
-#: So many words at a text's head start a signature each.
-HEAD = 16
 #: From so many words behind an anchor on, every word starts one.
 GAP = 16
-#: Rows of a range of ids in which neighbours are found, and the most ranges.
+#: Rows of a range of ids in which neighbours are found, on average, and the ranges that are broadcast
+#: (16 bytes each); beyond so many ranges they grow.
 RANGE_ROWS = 1000
-RANGES = 4096
+RANGES = 50_000
 
 
 def tokens(text: Column) -> Column:
@@ -71,12 +71,12 @@ def signatures(text: Column, anchors: list[str]) -> Column:
 
         size = F.size(w)
         chained = F.filter(places, lambda i, j: i - j + CHAIN <= F.size(content))
-        head = stretch(F.lit(0), F.least(size, F.lit(HEAD)))
         # Places with a chain come first, so their numbers among all places hold.
         whole = F.transform(chained, signature)
-        starts = F.concat(F.array(F.lit(HEAD)), F.transform(chained, lambda i: i + GAP))
+        head = F.when(F.size(chained) == 0, F.lit(0)).otherwise(F.lit(GAP))
+        starts = F.concat(F.array(head), F.transform(chained, lambda i: i + GAP))
         gaps = F.flatten(F.zip_with(starts, F.concat(chained, F.array(size)), stretch))
-        return F.array_sort(F.array_distinct(F.concat(head, whole, gaps)))
+        return F.array_sort(F.array_distinct(F.concat(whole, gaps)))
 
     def over(w: Column) -> Column:
         places = F.filter(F.transform(w, lambda x, i: F.when(is_anchor(x), i)), lambda i: i.isNotNull())
@@ -94,43 +94,52 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def range_cuts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """One row: blocks (the ranges' first (doc_id, hash), highest first, in blocks of about as many as
+    there are blocks) and top (the very first); and the number of ranges.
+
+    A cut is a document whose hash says so, one in RANGE_ROWS, so that cuts follow the ids' own
+    spread and part null ids and repeated ids as well."""
+    place = F.struct("doc_id", F.xxhash64("text").alias("hash"))
+    n = rows.count()
+    each = max(RANGE_ROWS, -(-n // RANGES))
+    hit = F.pmod(F.xxhash64(F.lit("cut"), "doc_id", F.xxhash64("text")), F.lit(each)) == 0
+    top = F.max(place).alias("top")
+    cuts = rows.agg(F.sort_array(F.collect_set(F.when(hit, place)), asc=False).alias("cuts"), top)
+    cuts = materialize(cuts.withColumn("cuts", F.filter("cuts", lambda c: c < F.col("top"))), "spot-cuts")
+    count = cuts.select(F.size("cuts")).first()[0] if n else 0
+    step = max(1, int(max(0, count) ** 0.5))
+    if count <= 0:
+        blocks = F.array().cast(f"array<{cuts.schema['cuts'].dataType.simpleString()}>")
+    else:
+        blocks = F.transform(F.sequence(F.lit(0), F.lit(count - 1), F.lit(step)), lambda i: F.slice("cuts", i + 1, step))
+    return cuts.select(blocks.alias("blocks"), "top", F.lit(step).alias("step")), max(0, count) + 1
+
+
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     """*rows* (doc_id, text, ...) with next_<c> of the row that follows in descending
     order of doc_id; after the last comes the first.
 
-    Ids are cut into ranges at ids that occur (at most RANGES quantiles). A range's
-    first row is sent to the range before as well, the very first to the last, so each range
-    knows what follows its own last row: one shuffle, no task with all rows.
+    Ids are cut into ranges. A range's first row is sent to the range before as well, the
+    very first to the last, so each range knows what follows its own last row: one shuffle of the
+    texts, no task with all rows.
     """
-    n, highest = rows.agg(F.count(F.lit(1)), F.max("doc_id")).first()
-    parts = min(RANGES, max(1, n // RANGE_ROWS))
-    cuts: list = []
-    if parts > 1:
-        cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
-    cuts = sorted({c for c in cuts if c != highest}, reverse=True)
-    # The range of an id: how many cuts are not below it; found in two short steps.
-    step = max(1, int(len(cuts) ** 0.5))
-    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    x = F.col("doc_id")
-    if cuts:
-        full = F.size(F.filter(F.array(*[F.lit(b[-1]) for b in blocks]), lambda c: c >= x))
-        table = F.array(*[F.array(*[F.lit(c) for c in b]) for b in blocks])
-        within = F.coalesce(F.size(F.filter(F.get(table, full), lambda c: c >= x)), F.lit(0))
-        at = F.when(x.isNull(), len(cuts)).otherwise(full * step + F.greatest(within, F.lit(0)))
-        first = x.isin(cuts)
-    else:
-        at, first = F.lit(0), F.lit(False)
-    own = F.struct(at.cast("int").alias("part"), F.lit(0).alias("guest"))
-    before = F.struct((at - 1).cast("int").alias("part"), F.lit(1).alias("guest"))
-    last = F.struct(F.lit(len(cuts)).alias("part"), F.lit(2).alias("guest"))
-    places = F.filter(F.array(own, F.when(first, before), F.when(x == F.lit(highest), last)), lambda p: p.isNotNull())
-    dealt = rows.withColumn("_place", F.explode(places)).withColumns({"_part": F.col("_place.part"), "_guest": F.col("_place.guest")}).drop("_place")
-    order = Window.partitionBy("_part").orderBy("_guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
-    follows = F.lead(F.struct(*columns)).over(order)
-    # Only where all ids are null does the last row have no guest; the first row then follows it.
-    head = F.first(F.struct(*columns)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) if highest is None else F.lit(None)
-    found = dealt.withColumn("_next", F.coalesce(follows, head))
-    return found.where("_guest = 0").select(*rows.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
+    cuts, ranges = range_cuts(rows.select("doc_id", "text"))
+    known = rows.select("*", F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("place")).crossJoin(F.broadcast(cuts))  # one row
+    # The range of a row: how many cuts are not below it; found in two short steps.
+    x, blocks = F.col("place"), F.col("blocks")
+    full = F.size(F.filter(blocks, lambda b: F.element_at(b, -1) >= x))
+    part = let(full, lambda k: k * F.col("step") + F.when(k < F.size(blocks), F.size(F.filter(F.get(blocks, k), lambda c: c >= x))).otherwise(F.lit(0)))
+    dealt = known.withColumn("part", F.least(part, F.lit(ranges - 1)))
+    is_cut = let(F.floor((F.col("part") - 1) / F.col("step")).cast("int"), lambda k: F.when(F.col("part") > 0, F.exists(F.get(blocks, k), lambda c: c == x)).otherwise(F.lit(False)))
+    own = F.struct(F.col("part").alias("part"), F.lit(0).alias("guest"))
+    before = F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("guest"))
+    last = F.struct(F.lit(ranges - 1).alias("part"), F.lit(2).alias("guest"))
+    places = F.filter(F.array(own, F.when(is_cut, before), F.when(x == F.col("top"), last)), lambda p: p.isNotNull())
+    dealt = dealt.select(*rows.columns, "place", F.explode(places).alias("at")).select(*rows.columns, "place", "at.part", "at.guest")
+    order = Window.partitionBy("part").orderBy("guest", F.col("place").desc(), F.col("text").desc_nulls_last())
+    found = dealt.withColumn("next", F.lead(F.struct(*columns)).over(order))
+    return found.where("guest = 0").select(*rows.columns, *[F.col(f"next.{c}").alias(f"next_{c}") for c in columns])
 
 
 def likeness(docs: DataFrame) -> DataFrame:
