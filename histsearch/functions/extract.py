@@ -11,6 +11,19 @@ INPUT_CHARS = 10_000
 RAW_CHARS = 20_000
 
 
+#: White space at the ends of a text, line ends and wide blanks included.
+SPACE_ENDS = r"^[\s\p{Z}\uFEFF]+|[\s\p{Z}\uFEFF]+$"
+
+
+def trimmed(text: Column) -> Column:
+    """*text* without white space of any kind at its ends."""
+    return F.regexp_replace(text, SPACE_ENDS, "")
+
+
+def trim_py(text: str) -> str:
+    return text.strip().strip("\ufeff").strip()
+
+
 def is_own_tool(tool: Column) -> Column:
     """One of the own tools, bare or behind a separator."""
     return F.coalesce(tool.rlike("(^|[._/-])(" + "|".join(OWN_TOOLS) + ")$"), F.lit(False))
@@ -25,7 +38,7 @@ def _string_member(name: str) -> Column:
     value = F.get_json_object("tool_input", f"$.{name}")
     # The member's JSON text tells a string from a number.
     kind = F.expr(f"schema_of_variant(try_variant_get(try_parse_json(tool_input), '$.{name}', 'variant'))")
-    return F.when((kind == "STRING") & (F.trim(value) != ""), value)
+    return F.when((kind == "STRING") & (trimmed(value) != ""), value)
 
 
 def searchable_fields() -> Column:

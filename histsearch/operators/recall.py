@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from ..functions.extract import recency
 from ..functions.text import parse_query, smart_snippet
 from ..sources.model import History
+from ..sources.written import discard, materialize
 from . import browse, diagnose, filters, scan
 from .expand import expand
 from .options import ArgumentError, Limits, SearchOptions, coerce_bool, coerce_enum, coerce_int, optional_string, search_options
-from .rank import CANDIDATES, in_rank_order, rank
+from .rank import CANDIDATES, in_rank_order, rank, texts_of
 from .shape import directory_order, group_by_session, struct_order, top_diverse
 
 
@@ -61,7 +62,7 @@ class Engine:
     def targets(self, o: SearchOptions) -> tuple[DataFrame, dict]:
         """The sessions to search, in buckets, and the account of them."""
         if o.scope == "global" and not o.session_id and not self.global_allowed:
-            raise ArgumentError("Global scope disabled via plugin option: global: false")
+            raise ArgumentError("Searches of all projects are switched off")
         found = self.discovered(o)
         n_found = found.count()
         kept = filters.with_buckets(found, o.directory, self.worktree, o.fallback)
@@ -74,9 +75,9 @@ class Engine:
             buckets = [b for b in filters.BUCKETS if counts.get(b)]
             n = sum(counts.values())
             if o.fallback and not (self.worktree or "").strip():
-                o.warnings.append("Directory fallback could not identify a project/worktree bucket; using exact and global buckets only.")
+                o.warnings.append("No worktree is known, so no bucket of the project stands between the directory and the rest.")
             if o.fallback and set(buckets) - {"exact"}:
-                o.warnings.append("Directory fallback broadened the search beyond exact matches.")
+                o.warnings.append("Sessions outside the directory were searched too, behind its own.")
             if n < n_found:
                 skipped["directory"] = n_found - n
         eligible = n
@@ -109,23 +110,27 @@ class Engine:
         return rank(self.history, targets, parse_query(o.query), match, self.now_ms, self.budget, o.explain, **where)
 
     def _page(self, o: SearchOptions, hits: DataFrame, ranked: bool) -> tuple[list[dict], int]:
-        """(results, total): the first groups or hits, and how many there are."""
+        """(results, total): the first groups or hits, and how many there are. Hits of a scan are
+        narrow rows, written once for the counts and the page; ranked ones are written already."""
         order = in_rank_order() if ranked else scan.in_scan_order()
         by_directory = bool(o.directory and o.fallback)
-        hits = hits.persist()  # hits only: counts and the page come from one scan
-        try:
-            if o.group == "session":
-                grouped = group_by_session(hits, struct_order(order))
-                place = [F.col("first_place")]
-                final = grouped.orderBy(*(directory_order(place) if by_directory else place)).limit(o.results)
-                total = grouped.count()
-            else:
-                total = hits.agg(F.coalesce(F.sum("hit_fields"), F.lit(0))).first()[0]
-                final = top_diverse(hits, order, o.results, by_directory)
-            final = final.withColumn("recency", recency(F.col("time"), self.now_ms))
-            return [r.asDict(recursive=True) for r in final.collect()], total
-        finally:
-            hits.unpersist()
+        hits = hits if ranked else materialize(hits, "hits")
+        if o.group == "session":
+            grouped = group_by_session(hits, struct_order(order))
+            place = [F.col("first_place")]
+            final = grouped.orderBy(*(directory_order(place) if by_directory else place)).limit(o.results)
+            total = hits.select("session_id").distinct().count()
+        else:
+            n, total = hits.agg(F.count(F.lit(1)), F.coalesce(F.sum("hit_fields"), F.lit(0))).first()
+            final = top_diverse(hits, order, o.results, by_directory, total=n)
+        final = final.withColumn("recency", recency(F.col("time"), self.now_ms))
+        rows = [r.asDict(recursive=True) for r in final.collect()]
+        if ranked:
+            texts = texts_of(self.history, rows)
+            rows = [r | {"raw": texts.get((r["session_id"], r["part_id"]), "")} for r in rows]
+        else:
+            discard(hits)
+        return rows, total
 
     def _shown(self, o: SearchOptions, row: dict, match: str, reported: str | None) -> dict:
         out = {k: row[k] for k in ("session_id", "session_title", "directory", "message_id", "role", "time", "part_id", "part_type", "pruned", "snippet", "source", "directory_relevance")}
@@ -218,7 +223,7 @@ class Engine:
         scope = coerce_enum(scope, ("project", "global"), "project")
         top = self.limits.max_session_list
         if scope == "global" and not self.global_allowed:
-            return {"ok": False, "error": "Global scope disabled via plugin option: global: false"}
+            return {"ok": False, "error": "Searches of all projects are switched off"}
         listed = browse.list_sessions(self.history, scope, self.project_id, optional_string(search), coerce_int(limit, min(20, top), 1, top))
         items = [r.asDict(recursive=True) for r in listed.drop("session_ord").collect()]
         return {"ok": True, "sessions": items, "returned": len(items), "scope": scope}

@@ -46,18 +46,17 @@ def diversify(hits: DataFrame, order: list[Column], limit: int, total: int | Non
     return hits.withColumn("held", place > per_session)
 
 
-def top_diverse(hits: DataFrame, order: list[Column], limit: int, by_directory: bool = False, per_session: int = PER_SESSION) -> DataFrame:
-    """The first *limit* hits, at most *per_session* of a session while others wait.
-    By directory, those are then put in the order of buckets."""
-    if 0 < per_session < limit and hits.limit(limit + 1).count() > limit:
-        marked = diversify(hits, order, limit, None, per_session)
+def top_diverse(hits: DataFrame, order: list[Column], limit: int, by_directory: bool = False, per_session: int = PER_SESSION, total: int | None = None) -> DataFrame:
+    """The first *limit* hits, at most *per_session* of a session while others wait; nothing is held
+    where *total*, the number of hits if it is known, is within the limit. By directory, those are then
+    put in the order of buckets (which takes a count of what isn't held, if any is)."""
+    marked = diversify(hits, order, limit, total, per_session)
+    if not by_directory:
+        return marked.orderBy("held", *order).limit(limit).drop("held")
+    if 0 < per_session < limit and (total is None or total > limit):
         first = marked.where(~F.col("held"))
-        if first.limit(limit).count() >= limit:
-            marked = first
-    else:
-        marked = hits.withColumn("held", F.lit(False))
-    final = [F.col("held"), *order]
-    return marked.orderBy(*(directory_order(final) if by_directory else final)).limit(limit).drop("held")
+        marked = first if first.limit(limit).count() >= limit else marked
+    return marked.orderBy(*directory_order([F.col("held"), *order])).limit(limit).drop("held")
 
 
 def directory_order(order: list[Column]) -> list[Column]:
