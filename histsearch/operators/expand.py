@@ -14,35 +14,37 @@ from ..sources.model import History
 from .browse import with_parts
 
 FIELD_CHARS = 4_000
+#: What stands at a cut, and for an own tool's output.
 MARK = "\n[truncated by recall expansion]"
 REDACTED = "[recall output omitted]"
 
 
 def shared_window(at: int, n: int, window: int, left: int) -> tuple[int, int, bool]:
-    """(start, end, capped) of the messages around *at* of *n*, with *left* messages to spend."""
+    """(start, end, capped) of the messages around *at* of *n*. With fewer than they are *left* to
+    spend, that stretch of them is taken in whose middle *at* lies, as far as the ends allow."""
     low, high = max(0, at - window), min(n, at + window + 1)
-    size = min(high - low, left)
-    start = max(low, at - (size - 1) // 2)
-    end = min(high, start + size)
-    return max(low, end - size), end, size < high - low
+    size = min(left, high - low)
+    start = min(max(low, at - (size - 1) // 2), high - size)
+    return start, start + size, size < high - low
 
 
 class TextBudget:
+    """Characters that the fields of an expansion share, each of which gets FIELD_CHARS at most."""
+
     def __init__(self, chars: int):
         self.left, self.cut = chars, False
 
     def take(self, value: str | None) -> str | None:
+        """*value* as it is shown: whole, cut and marked, or not at all where not even the mark fits."""
         if value is None:
             return None
-        allowed = min(FIELD_CHARS, self.left)
-        if len(value) <= allowed and self.left > 0:
-            self.left -= len(value)
-            return value
-        self.cut = True
-        if allowed <= len(MARK):
-            return None
-        self.left -= allowed
-        return value[: allowed - len(MARK)] + MARK
+        room = min(self.left, FIELD_CHARS)
+        whole = 0 < room >= len(value)
+        head = room - len(MARK)
+        shown = value if whole else value[:head] + MARK if head > 0 else None
+        self.cut |= not whole
+        self.left -= len(shown or "")
+        return shown
 
 
 def is_own_tool_py(name: str | None) -> bool:
@@ -71,7 +73,7 @@ def expand(history: History, results: list[dict], mode: str, count: int, window:
     chosen = [(i, r) for i, r in enumerate(results) if r["source"] != "title"][:count]
     if not chosen:
         if results:
-            warnings.append("Expansion skipped title-only hits; title results do not have matched parts.")
+            warnings.append("Hits on titles have no message to expand.")
         return [], warnings
     placed = _placed(history, sorted({r["session_id"] for _, r in chosen}))
     wanted = F.struct("session_id", "message_id").isin([F.struct(F.lit(r["session_id"]), F.lit(r["message_id"])) for _, r in chosen])
@@ -117,7 +119,7 @@ def expand(history: History, results: list[dict], mode: str, count: int, window:
             items = [item | {"center": item["message"]["message_id"] == result["message_id"]} for item in items]
             out.append(entry | {"messages": items, "has_more_before": start > 0, "has_more_after": end < n})
     if capped:
-        warnings.append(f"Context expansion capped at {budget_messages} messages; expanded {len(out)} of {len(chosen)} requested results. Reduce window or expandResults to include more hits.")
+        warnings.append(f"{budget_messages} messages were expanded at most, for {len(out)} of {len(chosen)} hits; a smaller window or fewer expandResults leave room for more.")
     if budget.cut:
-        warnings.append(f"Expanded text budget capped at {budget_chars} characters; some expanded fields were truncated or omitted.")
+        warnings.append(f"The expanded texts share {budget_chars} characters; some were cut or left out.")
     return out, warnings

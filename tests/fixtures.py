@@ -54,6 +54,7 @@ def tool(name="bash", status="completed", given=None, output=None, title=None, e
     }
 
 
+#: The sessions and texts of the base fixture.
 def base() -> Builder:
     b = Builder()
     b.session("s-other", "Harborview Walkthrough", OTHER, 500, "project-other")
@@ -73,7 +74,11 @@ def base() -> Builder:
     return b
 
 
-FILLER = "The build system compiles modules and links objects while caching intermediate artifacts."
+#: Fixed values from here on: the evaluation corpus (its boilerplate, texts, titles and ages) and its cases.
+FILLER = (
+    "error failed session message config result typescript src tool output update "
+    "function const return import export test build run check log value data type"
+)
 
 
 def corpus() -> Builder:

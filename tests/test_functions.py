@@ -56,10 +56,12 @@ def test_fields(spark):
 def test_durations_and_dates():
     assert [op.duration_ms(x) for x in ("7d", "2w ago", "3H", "30m", "d")] == [604_800_000, 1_209_600_000, 10_800_000, None, None]
     assert op.date_ms("2025-01-01") == 1_735_689_600_000 and op.date_ms("nope") is None
+    for spoken in ("Jan 1 2025", "2025/01/01", "January 1, 2025", "Wed, 01 Jan 2025 00:00:00 GMT", "1 Jan 2025 02:00 GMT+0200", "1/1/2025", "2025", "2025-01"):
+        assert op.date_ms(spoken) == 1_735_689_600_000
     warnings = []
     assert op.time_window({"last": "7d", "after": fx.NOW - 3_600_000}, fx.NOW, warnings) == (fx.NOW - 3_600_000, None)
-    assert warnings == ["Used after as the lower time bound; ignored less restrictive last."]
-    for args, word in (({"after": "7d"}, "Ignored after"), ({"last": "30m"}, "Ignored last"), ({"last": "0d"}, "zero-width"), ({"until": "0d"}, "Normalized until"), ({"before": "3w"}, "Ignored before")):
+    assert warnings == ["after is the lower bound of time; wider ones were dropped: last."]
+    for args, word in (({"after": "7d"}, 'after "7d" was left out'), ({"last": "30m"}, 'last "30m" was left out'), ({"last": "0d"}, "leaves no time"), ({"until": "0d"}, "means now"), ({"before": "3w"}, 'before "3w" was left out')):
         warnings = []
         op.time_window(args, fx.NOW, warnings)
         assert word in warnings[0]

@@ -38,7 +38,7 @@ def test_type_and_role(engine):
 def test_own_tool_is_not_found(engine):
     out = engine.recall(query="unique-self-recall-result")
     assert out["results"] == [] and len(out["near_misses"]) == 3
-    assert any("Literal search" in s["reason"] for s in out["suggestions"])
+    assert any("letter by letter" in s["reason"] for s in out["suggestions"])
 
 
 def test_subtask_only_under_all(engine):
@@ -51,7 +51,7 @@ def test_time_bounds_are_exclusive(engine):
     assert "m-current-1" not in ids(engine.recall(query="rate", after=at))
     assert "m-current-1" in ids(engine.recall(query="rate", after=at - 1, before=at + 1))
     out = engine.recall(query="rate", after=at, before=at)
-    assert not out["ok"] and "empty window" in out["error"]
+    assert not out["ok"] and "No time is left" in out["error"]
 
 
 def test_expansion(engine):
@@ -71,7 +71,7 @@ def test_title_only_hit_is_not_expanded(spark):
     out = b.engine(spark).recall(query="minecraft", expand="context")
     (hit,) = out["results"]
     assert (hit["part_id"], hit["part_type"], hit["title_match"]) == ("s-1:title", "title", "Minecraft Server Notes")
-    assert "expanded" not in out and any("title-only" in w for w in out["warnings"])
+    assert "expanded" not in out and any("Hits on titles" in w for w in out["warnings"])
 
 
 def test_smart_tool_filter(engine):
@@ -110,7 +110,7 @@ def test_directories(spark):
     assert out["coverage"]["skipped_by_reason"] == {"directory": 2, "sessionsLimit": 2} and out["scanned"] == 1
     out = e.recall(query="walkthrough", directory="/workspace/project/nested", fallback=True, results=50)
     assert [r["directory_relevance"] for r in out["results"]] == sorted((r["directory_relevance"] for r in out["results"]), key=["exact", "project", "global"].index)
-    assert any("broadened" in w for w in out["warnings"])
+    assert any("outside the directory" in w for w in out["warnings"])
 
 
 def test_coverage_and_load_errors(spark):
@@ -141,12 +141,12 @@ def test_shared_text_budget(spark):
     parts = out["expanded"][0]["message"]["parts"]
     assert parts[0]["output"].endswith("[truncated by recall expansion]") and len(parts[0]["output"]) == 4000
     assert sum(len(p["output"] or "") for p in parts) <= 30_000 and parts[-1]["output"] is None
-    assert any("text budget" in w for w in out["warnings"])
+    assert any("expanded texts share" in w for w in out["warnings"])
 
 
 def test_defence_and_clamps(engine):
     out = engine.recall(query="rate", match="nope", results=1000, width=5, type=7)
-    assert any('Ignored match:"nope"' in w for w in out["warnings"]) and any("Clamped results from 1000 to 50" in w for w in out["warnings"])
+    assert any('match "nope" is unknown' in w for w in out["warnings"]) and any("results 1000 is out of bounds; 50" in w for w in out["warnings"])
     assert not fx.Engine(engine.history, fx.NOW, global_allowed=False).recall(query="x")["ok"]
     assert Limits.of(max_results=0, default_width=3).max_results == 1 and Limits.of(default_width=3).default_width == 50
 
