@@ -126,9 +126,32 @@ r AS (SELECT * FROM fs WHERE score >= {R.FLOOR} OR (SELECT count(*) FROM fs) <=
 RANK_ORDER = "score DESC, time DESC, part_id"
 
 
+def ranked_fields(query) -> str:
+    """Names of the fields in which a ranked hit of the conversations was found (they have one each)."""
+    some = " OR ".join(f"list_contains(matched_terms, {q(k)}) AND len(list_filter(own, lambda t: ({weight('t', k, 'smart')}) IS NOT NULL)) > 0" for k in query.tokens)
+    phrase = "".join(f" OR instr(lower(raw), {q(x)}) > 0" for x in query.phrases)
+    some = some.replace("list_filter(own,", f"list_filter({tokens('raw')},")
+    return f"CASE WHEN {some}{phrase} THEN CASE WHEN is_title THEN 'title' WHEN part_type = 'reasoning' THEN 'reasoning' ELSE 'text' END ELSE '' END"
+
+
+def smart_snippet(text: str, query, width: int) -> str:
+    """The window with most distinct needles (then the least spread, then the first), around its middle."""
+    needles = list(dict.fromkeys((*query.tokens, *query.phrases)))
+    listed = ", ".join(q(k) for k in needles)
+    n = f"length({text})"
+    at = f"list_filter(range(1, {n} + 1), lambda i: len(list_filter([{listed}], lambda w: substr(lower({text}), i, length(w)) = w)) > 0)"
+    held = f"list_filter([{listed}], lambda w: len(list_filter(ps, lambda x: x >= i AND x <= i + {width} AND substr(lower({text}), x, length(w)) = w)) > 0)"
+    last = f"list_max(list_filter(ps, lambda x: x >= i AND x <= i + {width}))"
+    best = f"(SELECT {{'a': i, 'b': b}} FROM (SELECT i, {last} AS b, len({held}) AS c FROM (SELECT ps, unnest(ps) AS i FROM (SELECT {at} AS ps))) ORDER BY c DESC, b - i, i LIMIT 1)"
+    start = f"greatest(0, least((w.a - 1 + w.b - 1) // 2 - {width // 2}, {n} - {width}))"
+    shown = f"(CASE WHEN {start} > 0 THEN '...' ELSE '' END) || substr({text}, ({start} + 1)::BIGINT, {width}) || (CASE WHEN {start} + {width} < {n} THEN '...' ELSE '' END)"
+    return f"CASE WHEN {n} <= {width} THEN {text} ELSE (SELECT CASE WHEN w IS NULL THEN substr({text}, 1, {width}) || '...' ELSE {shown} END FROM (SELECT {best} AS w)) END"
+
+
 def cue_gate(table: str) -> str:
     """(k, query) of the texts in *table* (k, text) that ask for history."""
-    strip = "trim(text)"
+    blank = "' ' || chr(9) || chr(10) || chr(13)"
+    strip = f"trim(text, {blank})"
     for cue in auto.CUES:
         strip = f"regexp_replace({strip}, {q('(?is)^(.*?)' + cue)}, '\\1 ')"
     cleaned = f"trim(regexp_replace(regexp_replace(regexp_replace({strip}, '[\"''`]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}\\s_.-]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -136,5 +159,5 @@ def cue_gate(table: str) -> str:
     explicit = "'(?i)\\brecall(?:_\\w+)?\\s*\\('"
     return f"""SELECT k, trim(substr(c, 1, {auto.QUERY_CHARS})) AS query FROM (
   SELECT k, {cleaned} AS c FROM {table}
-  WHERE length(trim(text)) >= {auto.MIN_CHARS} AND NOT starts_with(trim(text), '/') AND NOT regexp_matches(text, {explicit}) AND regexp_matches(text, {asks}))
+  WHERE length(trim(text, {blank})) >= {auto.MIN_CHARS} AND NOT starts_with(trim(text, {blank}), '/') AND NOT regexp_matches(text, {explicit}) AND regexp_matches(text, {asks}))
 WHERE regexp_matches(c, '[\\p{{L}}\\p{{N}}]{{3,}}')"""
