@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.written import discard, materialize
+
+__all__ = ["discard", "materialize"]  # for the operators, which take them from here
+
 #: A word is a run of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -18,80 +16,11 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: A table is broadcast only up to this many (narrow) rows, after they are counted.
 BROADCAST_ROWS = 100_000
 
-_own_root: str | None = None
-_run_folders: dict[str, str] = {}
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one of
-    our own only where that is unset and everything runs in one local JVM."""
-    global _own_root
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    master = conf.get("spark.master", "local")
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_root is None:
-        _own_root = tempfile.mkdtemp(prefix="histsearch-")
-        atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
-    return f"file://{os.path.abspath(_own_root)}"
-
-
-def _store(spark: SparkSession, path: str):
-    """(file system, path) of *path*, whatever store it is in."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def run_folder(spark: SparkSession) -> str:
-    """The application's own folder for written tables; it goes when the application ends."""
-    app, root = spark.sparkContext.applicationId, checkpoint_root(spark)
-    if app not in _run_folders:
-        path = f"{root}/histsearch-{app}"
-        store, at = _store(spark, path)
-        store.mkdirs(at)
-        store.deleteOnExit(at)
-        _run_folders[app] = path
-    return _run_folders[app]
-
-
-#: Spark removes a query's shuffle files at its end: a table once written needs them no more.
-CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialize(df: DataFrame, label: str, *spent: DataFrame) -> DataFrame:
-    """Write *df* as Parquet under the shared folder and read it back: lineage
-    ends there, and a lost executor costs no recomputation of what came before. Tables
-    that were *spent* on it, and are read by nothing else, are removed then."""
-    spark = df.sparkSession
-    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_SHUFFLES, None)
-    spark.conf.set(CLEAN_SHUFFLES, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    discard(*spent)
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove tables made by :func:`materialize` that nothing reads any more."""
-    for table in tables:
-        path = getattr(table, "written_at", None)
-        if path:
-            store, at = _store(table.sparkSession, path)
-            store.delete(at, True)
-
-
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     """*df* with a broadcast hint if it has at most BROADCAST_ROWS rows (*rows*,
     if the caller has counted them), else as it is, to be joined by a shuffle."""
