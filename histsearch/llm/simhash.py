@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_by_key, materialize, read_table
+from .common import join_by_key, materialize, only, read_table, row_key
 
 SEED = 42
 RADIUS = 3
@@ -113,9 +113,10 @@ def links(fingerprints: DataFrame) -> DataFrame:
     masks = covering_masks(list(range(64)))
     rows = fingerprints.select("fp", F.posexplode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask_id", "mask"))
     rows = rows.select("fp", F.col("mask_id").cast("int").alias("mask_id"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    found = None
+    found, spent = None, []
     for level in range(3):
         sizes = materialize(rows.groupBy("mask_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-buckets")
+        spent.append(sizes)
         last = level == 2
         small = sizes if last else sizes.where(F.col("n") <= MAX_BUCKET)
         buckets = rows.join(small, ["mask_id", "key"]).groupBy("mask_id", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
@@ -128,13 +129,15 @@ def links(fingerprints: DataFrame) -> DataFrame:
         table = F.array(*[F.array(*[F.lit(signed(m)) for m in own]) for own in finer])
         rows = rows.join(hot, ["mask_id", "key"]).select("fp", "mask_id", F.posexplode(F.element_at(table, F.col("mask_id") + 1)).alias("sub", "mask"))
         rows = materialize(rows.select("fp", (F.col("mask_id") * len(finer[0]) + F.col("sub")).cast("int").alias("mask_id"), F.col("fp").bitwiseAND(F.col("mask")).alias("key")), "simhash-finer")
+        spent.append(rows)
         masks = [m for own in finer for m in own]
-    return materialize(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "simhash-links")
+    return materialize(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "simhash-links", *spent)
 
 
 def star_components(edges: DataFrame) -> DataFrame:
-    """(u, root) for each vertex of *edges* (u > v) but the roots, root being the
-    least vertex of its component."""
+    """(u, root) for each vertex of *edges* (written already; u > v) but the roots, root
+    being the least vertex of its component. Each step's table is removed after the next;
+    a vertex with many links is joined as a hot key."""
 
     def mark(df):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first())
@@ -142,30 +145,36 @@ def star_components(edges: DataFrame) -> DataFrame:
     now, seen = edges, mark(edges)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "simhash-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct(), "simhash-star")
+        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "simhash-least")
+        large = join_by_key(both.where("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "simhash-star", least)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "simhash-least")
+        moved = join_by_key(large, least, "u", "n").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        spent = (large, least) if now is edges else (large, least, now)
+        now = materialize(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct(), "simhash-star", *spent)
         was, seen = seen, mark(now)
         if was == seen:
             break
-    return now.select("u", F.col("v").alias("root"))
+    out = now.select("u", F.col("v").alias("root"))
+    if now is not edges:
+        out.written_at = now.written_at
+    return out
 
 
 def cluster(rows: DataFrame) -> DataFrame:
     """*rows* (written already; columns doc_id, fp and others) with the columns root
     (least fingerprint of the component, by its signed value) and component_id."""
     vertices = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows")), "simhash-vertices")
-    stars = star_components(links(vertices.select("fp")))
+    found = links(vertices.select("fp"))
+    stars = star_components(found)
     members = stars.select(F.col("u").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
-    named = members.join(vertices.drop("n_rows"), "fp").groupBy("root").agg(F.min("first_id").alias("least_id"))
-    labels = members.join(named, "root").select("fp", "root", "least_id")
+    members = materialize(members.join(vertices.drop("n_rows"), "fp"), "simhash-members", found)
+    named = materialize(members.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "simhash-named")
+    labels = join_by_key(members, named, "root", "n").select("fp", "root", "least_id")
     labelled = vertices.join(labels, "fp", "left").select(
         "fp", "n_rows", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id")
     )
-    return join_by_key(rows, materialize(labelled, "simhash-labelled"), "fp", "n_rows")
+    return join_by_key(rows, materialize(labelled, "simhash-labelled", vertices, members, named, stars), "fp", "n_rows")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -177,13 +186,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """*docs*, all columns, with one row of each component: that of the least id
     (then of the least text hash; of equal rows one)."""
-    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("_hash"), fingerprint_of("text").alias("fp")), "simhash-rows")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")).alias("best")
-    keep = cluster(rows).groupBy("root").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best._hash").alias("_hash"))
-    tagged = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = tagged["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    kept = tagged.join(keep, same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("hash"), fingerprint_of("text").alias("fp")), "simhash-rows")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("best")
+    keep = materialize(cluster(rows).groupBy("root").agg(best).select(*row_key(F.col("best.doc_id"), F.col("best.hash"))), "simhash-keep", rows)
+    return only(docs, keep)
 
 
 def op5_covering_simhash(spark, sf_dir):
