@@ -543,7 +543,7 @@ PAGE = "place int, session_id string, message_id string, part_id string, snippet
 def _page_rows(spark, out: dict) -> DataFrame:
     """A page of results as rows, in order; for at most 50 rows."""
     rows = [
-        (k, r["session_id"], r["message_id"], r["part_id"], r["snippet"], r["source"], r["why"]["confidence"], r["why"]["recency"], " ".join(r["why"]["matched_fields"]), r["directory_relevance"], r.get("match_mode"), r.get("hit_count"))
+        (k, r["session_id"], r["message_id"], r["part_id"], r["snippet"], r["source"], r["why"]["confidence"], r["why"]["recency"], " ".join(r["why"]["matched_fields"]), r["directory_relevance"], r.get("match_mode", "literal"), r.get("hit_count", 0))
         for k, r in enumerate(out["results"])
     ]
     full = spark.createDataFrame(rows, PAGE)
@@ -554,9 +554,9 @@ def _page_rows(spark, out: dict) -> DataFrame:
 SHOWN = f"""session_id, message_id, part_id, snippet, CASE WHEN part_type IN ('title', 'reasoning') THEN part_type ELSE 'message' END AS source,
   CASE WHEN is_title THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN {NOW_MS} - time <= 7 * 86400000 THEN 'recent' ELSE 'older' END AS recency"""
 
-def page_sql(order: str, limit: int, fields: str = "CASE WHEN is_title THEN 'title' WHEN part_type = 'reasoning' THEN 'reasoning' ELSE 'text' END", relevance: str = "'unknown'", mode: str = "NULL::VARCHAR", scanned: str = "(SELECT count(*) FROM s)") -> str:
+def page_sql(order: str, limit: int, fields: str = "CASE WHEN is_title THEN 'title' WHEN part_type = 'reasoning' THEN 'reasoning' ELSE 'text' END", relevance: str = "'unknown'", mode: str = "'literal'", scanned: str = "(SELECT count(*) FROM s)") -> str:
     """The first *limit* hits of h in *order*, with at most two of a session while others wait."""
-    return f"""SELECT (row_number() OVER (ORDER BY held, {order}) - 1)::INT AS place, {SHOWN}, {fields} AS fields, {relevance} AS directory_relevance, {mode} AS match_mode, NULL::BIGINT AS hit_count,
+    return f"""SELECT (row_number() OVER (ORDER BY held, {order}) - 1)::INT AS place, {SHOWN}, {fields} AS fields, {relevance} AS directory_relevance, {mode} AS match_mode, 0::BIGINT AS hit_count,
       (SELECT count(*) FROM h) AS total, (SELECT count(*) FROM h) > {limit} AS truncated, {scanned} AS scanned
       FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {order}) > 2 AND (SELECT count(*) FROM h) > {limit} AS held FROM h) ORDER BY place LIMIT {limit}"""
 
@@ -580,7 +580,7 @@ def recall_scope_and_clamp(spark, sf_dir):
 @query(
     literal_sql(
         f"""SELECT (row_number() OVER (ORDER BY session_ord, session_id) - 1)::INT AS place, {SHOWN}, CASE WHEN is_title THEN 'title' WHEN part_type = 'reasoning' THEN 'reasoning' ELSE 'text' END AS fields,
-        'unknown' AS directory_relevance, NULL::VARCHAR AS match_mode, hit_count, (SELECT count(DISTINCT session_id) FROM h) AS total, (SELECT count(DISTINCT session_id) FROM h) > 7 AS truncated, (SELECT count(*) FROM s) AS scanned
+        'unknown' AS directory_relevance, 'literal' AS match_mode, hit_count, (SELECT count(DISTINCT session_id) FROM h) AS total, (SELECT count(DISTINCT session_id) FROM h) > 7 AS truncated, (SELECT count(*) FROM s) AS scanned
         FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS hit_count, row_number() OVER (PARTITION BY session_id ORDER BY is_title, time DESC, {o.ORDER}) AS k FROM h) WHERE k = 1 ORDER BY place LIMIT 7"""
     )
 )
@@ -618,7 +618,7 @@ def recall_durations(spark, sf_dir):
 @query(
     literal_sql(
         f"""SELECT (row_number() OVER (ORDER BY b, time DESC, held, {o.ORDER}) - 1)::INT AS place, {SHOWN}, CASE WHEN is_title THEN 'title' WHEN part_type = 'reasoning' THEN 'reasoning' ELSE 'text' END AS fields,
-        bucket AS directory_relevance, NULL::VARCHAR AS match_mode, NULL::BIGINT AS hit_count, (SELECT count(*) FROM h) AS total, (SELECT count(*) FROM h) > 30 AS truncated, (SELECT count(*) FROM s) AS scanned
+        bucket AS directory_relevance, 'literal' AS match_mode, 0::BIGINT AS hit_count, (SELECT count(*) FROM h) AS total, (SELECT count(*) FROM h) > 30 AS truncated, (SELECT count(*) FROM s) AS scanned
         FROM (SELECT *, sum((NOT held)::INT) OVER () AS free FROM (
           SELECT h.*, {BUCKET} AS bucket, CASE {BUCKET} WHEN 'exact' THEN 0 WHEN 'project' THEN 1 ELSE 2 END AS b, row_number() OVER (PARTITION BY session_id ORDER BY {o.ORDER}) > 2 AND (SELECT count(*) FROM h) > 30 AS held
           FROM h JOIN s USING (session_id, session_ord, title, directory))) WHERE NOT held OR free < 30 ORDER BY place LIMIT 30"""
@@ -650,16 +650,16 @@ def recall_account(spark, sf_dir):
 
 
 @query(
-    f"""WITH {o.CONV}, b AS (SELECT bucket, count(*) AS n FROM (SELECT {BUCKET} AS bucket FROM s) GROUP BY bucket)
-    SELECT 'searched' AS kind, session_id AS name, NULL::BIGINT AS n FROM (SELECT session_id FROM s ORDER BY session_ord LIMIT 3)
-    UNION ALL SELECT 'hint', hint, NULL FROM (VALUES ('match:smart'), ('type:all')) v(hint)"""
+    f"""WITH {o.CONV}
+    SELECT 'searched' AS kind, session_id AS name FROM (SELECT session_id FROM s ORDER BY session_ord LIMIT 3)
+    UNION ALL SELECT 'hint', hint FROM (VALUES ('match:smart'), ('type:all')) v(hint)"""
 )
 def recall_nothing_found(spark, sf_dir):
     """Near misses and the suggested changes of a search that finds nothing."""
     out = _engine(spark, sf_dir).recall(query="zz none at all zz", type="text")
-    rows = [("searched", m["session_id"], None) for m in out["near_misses"]]
-    rows += [("hint", ":".join(next(iter(h["example"].items()))), None) for h in out["suggestions"] if "example" in h]
-    return spark.createDataFrame(rows, "kind string, name string, n long")
+    rows = [("searched", m["session_id"]) for m in out["near_misses"]]
+    rows += [("hint", ":".join(next(iter(h["example"].items())))) for h in out["suggestions"] if "example" in h]
+    return spark.createDataFrame(rows, "kind string, name string")
 
 
 @query(rank_sql(EXACT, "smart", page_sql(o.RANK_ORDER, 20, fields=o.ranked_fields(EXACT), mode="'smart'").replace("FROM h", "FROM r").replace("snippet,", o.smart_snippet("raw", EXACT, 200) + " AS snippet,", 1)))

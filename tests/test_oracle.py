@@ -3,6 +3,7 @@
 import math
 import os
 
+import pandas as pd
 import pytest
 
 from histsearch.plans.catalog import ORACLE_SQL, QUERIES
@@ -22,7 +23,7 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    clean = lambda v: "" if v is None or (isinstance(v, float) and math.isnan(v)) else round(v, 5) if isinstance(v, float) else str(v)
+    clean = lambda v: "" if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else round(v, 5) if isinstance(v, float) else str(v)
     return sorted(repr(tuple(map(clean, r))) for r in df.itertuples(index=False))
 
 
