@@ -156,8 +156,7 @@ def star_components(edges: DataFrame) -> DataFrame:
         if was == seen:
             break
     out = now.select("u", F.col("v").alias("root"))
-    if now is not edges:
-        out.written_at = now.written_at
+    out.written_at = getattr(now, "written_at", None)
     return out
 
 
