@@ -1,8 +1,12 @@
 """The corpus pipeline: five stages from documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of their input. The stages' edge cases are those of their
-operators.
+return the columns of their input.
+
+Defined results: null and empty texts are scored, are each other's copies, and pack as the end id
+alone; very long texts are read whole and packed in pieces; without labels of both kinds every document is kept;
+of equal rows one stays; ties in near-dedup go to the least id; an empty table gives no rows; other
+columns pass through the first four stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays; links are texts whose sets of five-word
-    shingles have a Jaccard similarity of 0.8 or more (op5's own contract differs)."""
+    shingles have a Jaccard similarity of 0.8 or more, found by covering SimHash and, beyond its
+    radius, exactly (op5's own contract differs)."""
     return drop_similar(docs)
 
 
